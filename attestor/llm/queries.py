@@ -1,0 +1,25 @@
+"""The queries of this subpackage: one per operator, with production parameters over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from attestor.llm import exact_dedup
+from attestor.runtime import read
+
+
+def op1_exact_dedup(spark, sf_dir):
+    return exact_dedup.find_copies(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+
+ORACLE_SQL = {
+    "op1_exact_dedup": """
+        WITH d AS (
+            SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
+            FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+               row_number() OVER (PARTITION BY h ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, h AS text_sha256
+        FROM d""",
+}
