@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from attestor.llm import exact_dedup
+from attestor.llm import bpe, exact_dedup, packing
 from attestor.runtime import read
 
 
@@ -12,7 +13,16 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.find_copies(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op9_byte_bpe(spark, sf_dir):
+    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op10_packing(spark, sf_dir):
+    pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op9_byte_bpe, op10_packing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
