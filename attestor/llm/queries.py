@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, exact_dedup, packing
+from attestor.llm import bpe, exact_dedup, packing, quality, toxicity
 from attestor.runtime import read
 
 
@@ -13,6 +13,17 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.find_copies(read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.classify(docs, read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op9_byte_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -22,7 +33,7 @@ def op10_packing(spark, sf_dir):
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op9_byte_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_quality, op5_toxicity, op9_byte_bpe, op10_packing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
