@@ -31,6 +31,8 @@ WINDOW, OPEN, GROUP, END_ID = 1024, 32, 64, 0
 
 #: Characters handed to the tokenizer at once: its records of a text take far more memory than the text.
 _JOINED = 200_000
+#: Units remembered; their values are short here.
+REMEMBERED = 900_000
 
 
 class Encoder:
@@ -52,7 +54,7 @@ class Encoder:
         held = 0
         for i, u in enumerate(units):
             rest = u[1:]
-            if u[:1] != " " or not rest or " " in rest or rest[0].isspace() or rest[-1].isspace():
+            if u[:1] != " " or not rest or " " in rest or rest != rest.strip():
                 if u:
                     out[i] = self._ids(u).tobytes()
                 continue
@@ -86,7 +88,7 @@ _loaded: dict[str, UnitCache] = {}
 
 def _cache(path: str) -> UnitCache:
     if path not in _loaded:
-        _loaded[path] = UnitCache(Encoder(path).units)
+        _loaded[path] = UnitCache(Encoder(path).units, REMEMBERED)
     return _loaded[path]
 
 
