@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, chat, exact_dedup, extract_html, packing, quality, topk, toxicity
+from attestor.llm import bpe, chat, exact_dedup, extract_html, near_dedup, packing, quality, topk, toxicity
 from attestor.runtime import read
 
 
@@ -22,6 +22,10 @@ def op3_quality(spark, sf_dir):
     return quality.classify(docs, read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.find_near_copies(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.classify(docs, read(spark, sf_dir, "labels"))
@@ -50,7 +54,7 @@ def op10_packing(spark, sf_dir):
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_top_k, op3_quality, op5_toxicity, op6_html_extraction, op8_chat_formatting, op9_byte_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_top_k, op3_quality, op4_minhash_near_dedup, op5_toxicity, op6_html_extraction, op8_chat_formatting, op9_byte_bpe, op10_packing)}
 
 ORACLE_SQL = {
     "op2_top_k": """
