@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, chat, exact_dedup, extract_html, near_dedup, packing, quality, topk, toxicity
+from attestor.llm import bpe, chat, exact_dedup, extract_html, near_dedup, packing, quality, substring_dedup, topk, toxicity
 from attestor.runtime import read
 
 
@@ -37,6 +37,12 @@ def op6_html_extraction(spark, sf_dir):
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    """The texts without passages that stand earlier in the table; changed: whether anything was cut out."""
+    found = substring_dedup.drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_removed", (F.col("n_removed") > 0).alias("changed"), "removed")
+
+
 def op8_chat_formatting(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     fixed = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -54,7 +60,7 @@ def op10_packing(spark, sf_dir):
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_top_k, op3_quality, op4_minhash_near_dedup, op5_toxicity, op6_html_extraction, op8_chat_formatting, op9_byte_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_top_k, op3_quality, op4_minhash_near_dedup, op5_toxicity, op6_html_extraction, op7_substring_dedup, op8_chat_formatting, op9_byte_bpe, op10_packing)}
 
 ORACLE_SQL = {
     "op2_top_k": """
