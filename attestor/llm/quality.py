@@ -221,9 +221,14 @@ def score(docs: DataFrame, network: Network, text_col: str = "text", out: str =
     return docs.withColumn(out, run(F.col(text_col)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out: int = 0, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", train_docs: DataFrame | None = None) -> DataFrame:
-    """``docs`` with held_out, score and predicted. Labels are learned only from rows outside the held-out fold."""
+def classify(docs: DataFrame, labels: DataFrame, fold: int = 5, held_out: int = 0, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", out: str = "") -> DataFrame:
+    """``docs`` with held_out, score and predicted (under names that start with ``out`` and _, if given).
+
+    Labels are learned only from rows outside the held-out fold.
+    """
     bucket = crc_bucket(id_col, fold)
-    network = train(train_docs if train_docs is not None else docs, labels, bucket != held_out, "quality", id_col, text_col)
+    network = train(docs, labels, bucket != held_out, "quality", id_col, text_col)
+    name = (lambda c: f"{out}_{c}") if out else (lambda c: c)
     held = F.coalesce(bucket == held_out, F.lit(False))
-    return score(docs, network, text_col).withColumns({"held_out": held, "predicted": (F.col("score") >= threshold).cast("int")})
+    scored = score(docs, network, text_col, name("score"))
+    return scored.withColumns({name("held_out"): held, name("predicted"): (F.col(name("score")) >= threshold).cast("int")})
