@@ -14,10 +14,12 @@ document is cut at window size, each id lying in exactly one piece.
 from __future__ import annotations
 
 import gc
+import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,18 +37,47 @@ _JOINED = 200_000
 REMEMBERED = 900_000
 
 
+def _ranks(file: dict) -> dict[bytes, int] | None:
+    """The ranks by bytes that a tokenizers file amounts to, or None."""
+    model, cut = file["model"], file.get("pre_tokenizer") or {}
+    vocab, merges = model.get("vocab"), model.get("merges")
+    plain = model.get("type") == "BPE" and not file.get("normalizer") and not model.get("byte_fallback") and not model.get("ignore_merges")
+    if not plain or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+    if len(vocab) != 256 + len(pairs) or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
+        return None
+    # byte-level files write the bytes that do not print as the characters from 256 on
+    shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {bytes(byte[c] for c in token): i for token, i in vocab.items()}
+
+
 class Encoder:
-    """Ids of whole units as little-endian unsigned 32-bit bytes, by a tokenizers file."""
+    """Ids of whole units as little-endian unsigned 32-bit bytes, by a tokenizers file.
+
+    Where the file is a plain byte-level BPE whose merges stand in the order of their ids, those ids are
+    the ranks of the tiktoken library, which gives the same ids in a quarter of the time.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size()
-        self.starts = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        gc.set_threshold(1_000_000)
+        gc.set_threshold(1_000_000)  # many small objects, no cycles
+        with open(path, encoding="utf-8") as f:
+            self.ranks = _ranks(json.load(f))
+        if self.ranks is not None:
+            import tiktoken
+
+            self.tokenizer = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+            self.starts = np.zeros(max(self.ranks.values()) + 1, bool)
+            self.starts[[r for t, r in self.ranks.items() if t[:1] == b" "]] = True
+        else:
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True
+            names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+            self.starts = np.array([n.startswith("Ġ") for n in names])
 
     def units(self, units: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(units)
@@ -68,6 +99,8 @@ class Encoder:
         return out
 
     def _ids(self, text: str) -> np.ndarray:
+        if self.ranks is not None:
+            return self.tokenizer.encode_to_numpy(text).astype("<u4")
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _joined(self, units: list[str], run: list[int], out: list[bytes]) -> None:
@@ -172,6 +205,7 @@ def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
                     done.extend(_rows(full, sequence))
                     sequence += 1
             yield _batch(done, id_type, {"_group": -1})
+        cache.clear()  # a worker goes on to other work
         if windows.open:
             left = [row for _, pieces in windows.open for row in _rows(pieces, -1)]
             yield _batch(left, id_type, {"_group": part // GROUP})

@@ -53,11 +53,14 @@ class UnitCache:
         self.after: dict[str, object] = {}  # by the unit without its leading space
         self.whole: dict[str, object] = {}  # by the whole unit
 
+    def clear(self) -> None:
+        self.after.clear()
+        self.whole.clear()
+
     def values(self, parts: list[str]) -> list[list]:
         """The units' values of each part."""
         if len(self.after) + len(self.whole) > self.limit:
-            self.after.clear()
-            self.whole.clear()
+            self.clear()
         cut = [(_CUT.split(p), True) if odd(p) else (p.split(" "), False) for p in parts]
         after: set[str] = set()
         whole: set[str] = set()
