@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -61,6 +62,15 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """materialise() in files of the size that adaptive execution aims at, after which Spark may drop the shuffle
+    files of what is no longer referred to."""
+    out = materialise(df.hint("rebalance"), label)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def release() -> None:
     """Delete every table that materialise() has written."""
     while _written:
