@@ -145,9 +145,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     def index(frames):
         """Blocks of a range, one row each, and its queries with what they find in it."""
         part = TaskContext.get().partitionId()
-        f = pd.concat(list(frames) or [pd.DataFrame({"key": [], "id": [], "v": [], "q": []})])
-        if not len(f):
+        held = [f for f in frames if len(f)]
+        if not held:
             return
+        f = pd.concat(held)
         f = f.sort_values(["key", "id"], kind="stable").reset_index(drop=True)
         blocks = Blocks(f["id"].to_numpy(np.int64), matrix(list(f["v"])))
         for a, b in blocks.cuts:
@@ -166,19 +167,19 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     )
     blocks = stored.where("row = -1").select("range", "ids", "v").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     last = stored.agg(F.max("range")).first()[0] or 0  # asked for or, in a session that raises such numbers, more
-    queries = stored.where("row >= 0").select("row", "id", "v", "floor", "floor_id", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk"))
+    queries = stored.where("row >= 0").select("row", F.col("id").alias("query"), F.col("v").alias("vector"), "floor", "floor_id", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk"))
     queries = queries.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(last))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
+        if not len(left.columns) or not len(right.columns) or not len(left) or not len(right):
             return pd.DataFrame({"row": [], "query_id": [], "id": [], "score": []}).astype("int64")
         ids = [np.frombuffer(x, "<i8") for x in left["ids"]]
         vs = [np.frombuffer(x, "<i8").reshape(len(i), -1) for i, x in zip(ids, left["v"])]
         found = Blocks(np.concatenate(ids), np.concatenate(_same_width(*vs)))
-        s, i = found.search(right["id"].to_numpy(np.int64), matrix(list(right["v"])), k, right["floor"].to_numpy(np.int64), right["floor_id"].to_numpy(np.int64))
+        s, i = found.search(right["query"].to_numpy(np.int64), matrix(list(right["vector"])), k, right["floor"].to_numpy(np.int64), right["floor_id"].to_numpy(np.int64))
         hit = i.ravel() != (1 << 63) - 1
         again = lambda c: np.repeat(right[c].to_numpy(np.int64), k)[hit]
-        return pd.DataFrame({"row": again("row"), "query_id": again("id"), "id": i.ravel()[hit], "score": s.ravel()[hit]})
+        return pd.DataFrame({"row": again("row"), "query_id": again("query"), "id": i.ravel()[hit], "score": s.ravel()[hit]})
 
     pairs = blocks.groupBy("chunk", "range").cogroup(queries.groupBy("chunk", "range")).applyInPandas(search, "row long, query_id long, id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "id")
