@@ -12,7 +12,8 @@ every size. Scoring is a map without a shuffle.
 Defined cases: a null text counts as empty; an empty text is scored as one chunk of padding; null
 labels and rows without id are not learned from; of repeated labels the largest counts; with no or
 one class among the labels every score is that class's share (0.5 without labels); repeated rows are
-scored alike; extra columns are ignored.
+scored alike; extra columns pass through, but for ones
+named like the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ class Network:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         best = np.full((len(texts), HIDDEN), -np.inf, np.float32)
-        for owners, data, ends in laid_out(texts):
+        for owners, data, ends, used in laid_out(texts):
             at = data.astype(np.intp)
             n = (len(data) - WIDTH + 1) // SEGMENT
             segments = np.empty((n, FILTERS), np.float32)
@@ -81,33 +82,39 @@ class Network:
             last = np.zeros(n, bool)
             last[ends - 1] = True
             h = np.maximum(np.tanh(self.chunks(segments, last)) @ self.hidden + self.hidden_bias, 0)
-            top = np.maximum.reduceat(h, np.concatenate([[0], ends[:-1]]), axis=0)
+            starts = np.concatenate([[0], ends[:-1]])
+            for a, b in zip(starts + used, ends):
+                h[a:b] = -np.inf
+            top = np.maximum.reduceat(h, starts, axis=0)
             np.maximum.at(best, owners, top)
         return 1 / (1 + np.exp(-(best.astype(np.float64) @ self.out + self.shift[0])))
 
 
-def laid_out(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts on a grid of segments: (text numbers, bytes with WIDTH - 1 more, ends in segments), about SLICE bytes each.
+def laid_out(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts on a grid of segments: (text numbers, bytes with WIDTH - 1 more, ends in segments, chunks that count), about SLICE bytes each.
 
-    A long text comes in parts that overlap by a segment and WIDTH - 1 bytes, so that its chunks are those of the whole.
+    A long text comes in parts. A part that is not the last goes two segments on, whose chunks do not count, so that the
+    chunks that count are those of the whole.
     """
-    owners, parts, ends, held = [], [], [], 0
+    owners, parts, ends, used, held = [], [], [], [], 0
 
     def done():
         data = np.frombuffer(b"".join([*parts, bytes(WIDTH - 1)]), np.uint8)
-        return np.array(owners), data, np.array(ends)
+        return np.array(owners), data, np.array(ends), np.array(used)
 
     for i, text in enumerate(texts):
         for a in range(0, max(1, len(text)), SLICE):
-            part = text[a : a + SLICE + (SEGMENT if a + SLICE < len(text) else 0)]
-            size = -(-(len(part) + WIDTH - 1) // SEGMENT)
+            more = a + SLICE < len(text)
+            part = text[a : a + SLICE + (SEGMENT + WIDTH - 1 if more else 0)]
+            size = SLICE // SEGMENT + 2 if more else -(-(len(part) + WIDTH - 1) // SEGMENT)
             if held and (held + size) * SEGMENT > SLICE:
                 yield done()
-                owners, parts, ends, held = [], [], [], 0
+                owners, parts, ends, used, held = [], [], [], [], 0
             held += size
             owners.append(i)
             parts.append(part.ljust(size * SEGMENT, b"\0"))
             ends.append(held)
+            used.append(SLICE // SEGMENT if more else size)
     if owners:
         yield done()
 
@@ -150,7 +157,7 @@ def calibrated(x: np.ndarray, labels: np.ndarray, rounds: int = 60) -> tuple[flo
 
 def _gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
     grads = [np.zeros_like(w) for w in net.weights()]
-    for owners, data, ends in laid_out(texts):  # a short text is in one slice
+    for owners, data, ends, _ in laid_out(texts):  # a short text is in one part
         at = data.astype(np.intp)
         n = (len(data) - WIDTH + 1) // SEGMENT
         r = net.responses(at[: n * SEGMENT + WIDTH - 1]).reshape(n, SEGMENT, FILTERS)
