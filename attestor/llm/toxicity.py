@@ -13,12 +13,12 @@ without a shuffle over whole texts.
 Defined cases: a null or empty text has no segments and the lowest score; null labels and rows without
 id are not learned from; of repeated labels the largest counts; with no or one class among the labels
 every score is that class's share (0 without labels); repeated rows are scored alike; extra columns
-pass through.
+pass through, but for ones named like the results, which are replaced.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -214,7 +214,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         found = [m.passages(t) for t in texts]
         return pd.DataFrame({"score": m.probability([x for _, x in found]), "passages": [[{"start": a, "end": b, "score": s} for a, b, s in p] for p, _ in found]})
 
-    return docs.withColumn("_scored", run(F.col(text_col))).select(*docs.columns, "_scored.score", "_scored.passages")
+    tag = f"_scored{uuid.uuid4().hex[:8]}"
+    names = [c for c in docs.columns if c not in ("score", "passages")]
+    return docs.withColumn(tag, run(F.col(text_col))).select(*names, f"{tag}.score", f"{tag}.passages")
 
 
 def classify(docs: DataFrame, labels: DataFrame, fold: int = 4, held_out: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

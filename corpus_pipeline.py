@@ -7,6 +7,8 @@ shared folder and reads them back for the next.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,9 @@ from attestor.runtime import materialise, read
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it is fitted on the labelled rows of the documents given."""
-    scored = quality.classify(docs, read(spark, sf_dir, "labels"), out="_score")
-    return scored.where(F.col("_score_predicted") == 1).select(*docs.columns)
+    tag = f"_q{uuid.uuid4().hex[:8]}"  # no column of docs
+    scored = quality.classify(docs, read(spark, sf_dir, "labels"), out=tag)
+    return scored.where(F.col(f"{tag}_predicted") == 1).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
