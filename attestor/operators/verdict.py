@@ -175,6 +175,21 @@ def verdicts(claims: DataFrame, judged: DataFrame, keys: list[str] = KEYS) -> Da
     })
     disputed = F.concat(F.lit("Supported by "), F.array_join("supporting_evidence_ids", ", "), F.lit(", contradicted by "), F.array_join("contradicting_evidence_ids", ", "), F.lit("."))
     rows = rows.withColumn("disputed_summary", F.when(c("basis") == "DISPUTED", disputed))
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    yes, no = F.array_join("supporting_evidence_ids", ", "), F.array_join("contradicting_evidence_ids", ", ")
+    explained = (
+        F.when(c("basis") == "NO_EVIDENCE", "No evidence was found, so the claim is open.")
+        .when(c("basis") == "PRIMARY_SUPPORT", say("Primary evidence supports the claim (", yes, ") against other reports (", no, ")."))
+        .when(c("basis") == "PRIMARY_CONTRADICTION", say("Primary evidence refutes the claim (", no, ") against other reports (", yes, ")."))
+        .when(c("basis") == "DISPUTED", say("Credible sources disagree: ", yes, " for, ", no, " against."))
+        .when(c("basis") == "SUPPORT", say("Reliable evidence supports the claim (", yes, ")."))
+        .when(c("basis") == "WEAK_SUPPORT", say("What supports the claim is too weak (", yes, ")."))
+        .when(c("basis") == "CONTRADICTION", say("Reliable evidence refutes the claim (", no, ")."))
+        .when(c("basis") == "WEAK_CONTRADICTION", say("What speaks against the claim is too weak (", no, ")."))
+        .when(c("basis") == "ALL_FILTERED", say("None of the ", c("filtered_count").cast("string"), " results is about the claim."))
+        .otherwise("The sources neither confirm nor refute the claim.")
+    )
+    rows = rows.withColumn("explanation", explained)
     return rows.drop(*[x for x in rows.columns if x.startswith("_")])
 
 
@@ -203,11 +218,18 @@ def reports(results: DataFrame, key: str = "doc_id") -> DataFrame:
         )
         .otherwise("INSUFFICIENT_EVIDENCE")
     )
-    return out.withColumn("overall_assessment", assessment)
+    out = out.withColumn("overall_assessment", assessment)
+    count = lambda name: F.col(name).cast("string")
+    summary = F.concat(
+        count("supported_claims"), F.lit(" of "), count("total_claims"), F.lit(" claims supported, "), count("contradicted_claims"), F.lit(" contradicted"),
+        F.when(F.size("contradicted_ids") > 0, F.concat(F.lit(" ("), F.array_join("contradicted_ids", ", "), F.lit(")"))).otherwise(""), F.lit(", "),
+        count("uncertain_claims"), F.lit(" open."),
+    )
+    return out.withColumn("summary", summary)
 
 
 def report_all(documents: DataFrame, results: DataFrame, key: str = "doc_id") -> DataFrame:
     """reports() for every document, also for those without a claim."""
     out = documents.select(key).join(reports(results, key), key, "left")
     numbers = [f.name for f in out.schema if f.dataType.simpleString() in ("bigint", "int") and f.name != key]
-    return out.fillna(0, numbers).fillna({"overall_assessment": "INSUFFICIENT_EVIDENCE"})
+    return out.fillna(0, numbers).fillna({"overall_assessment": "INSUFFICIENT_EVIDENCE", "summary": "No claims."})

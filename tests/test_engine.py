@@ -174,6 +174,20 @@ def test_registry(spark):
     assert got == {(1, 1): "a", (2, 1): "a", (3, 1): "c"}
 
 
+def test_whole_plan_with_built_in_topics(spark):
+    from attestor.plans.verify import verify
+
+    docs = spark.createDataFrame([(1, "The RBI kept the repo rate unchanged at 6.5%. The weather was nice in the hills today."), (2, "")], "doc_id long, text string")
+    out = verify(docs, se.topic_provider)
+    claims = {(r.doc_id, r.claim_id): r for r in out["claims"].collect()}
+    assert claims[1, "C001"].status == "SUCCESS" and claims[1, "C001"].source_count == 3
+    verdict = {r.claim_id: r for r in out["verdicts"].collect()}["C001"]
+    assert verdict.final_stance == "SUPPORTED" and verdict.primary_count == 1 and "E001" in verdict.explanation
+    reports = {r.doc_id: r for r in out["reports"].collect()}
+    assert reports[2].total_claims == 0 and reports[2].summary == "No claims." and reports[1].total_claims == 2
+    assert {r.doc_id for r in out["summaries"].collect()} == {1}
+
+
 def test_rest_answers(spark):
     rows = [
         (1, 200, '{"results":[{"title":"a","url":"https://www.x.com/1","content":"c","published_date":"2024-01-01T00:00"},5,{"url":"u"}]}', None),
