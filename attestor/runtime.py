@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
@@ -40,6 +41,29 @@ def prepare(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(archive))
 
 
+def tidied(task):
+    """A task over Arrow batches that gives memory back at its end.
+
+    Python workers go on to other tasks, and their executor's memory is bounded: large arrays are mapped on their own,
+    so that freeing them returns them, and what the allocators keep is returned at the end.
+    """
+
+    def run(batches):
+        import pyarrow
+
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        try:
+            yield from task(batches)
+        finally:
+            pyarrow.default_memory_pool().release_unused()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
