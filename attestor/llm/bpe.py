@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.units import UnitCache, slices
-from attestor.runtime import prepare
+from attestor.runtime import prepare, tidied
 
 #: Unicode's White_Space, as the pattern's \s means it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -276,4 +276,4 @@ def _run(docs: DataFrame, vocab: str, id_col: str, text_col: str, columns: str,
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, {columns}")
+    return rows.mapInArrow(tidied(run), f"`{id_col}` {kind}, {columns}")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.runtime import materialise, prepare
+from attestor.runtime import materialise, prepare, tidied
 
 #: Misra-Gries counters, and so the most digests that are ever broadcast.
 COUNTERS = 1024
@@ -59,7 +59,7 @@ def _frequent(table: DataFrame, n: int, k: int) -> DataFrame:
     rows is estimated above n/k.
     """
     found = (
-        table.select("_digest").mapInArrow(_summaries(k), "_digest binary, _n long")
+        table.select("_digest").mapInArrow(tidied(_summaries(k)), "_digest binary, _n long")
         .groupBy("_digest").agg(F.sum("_n").alias("_n"))
         .where((F.col("_n") > n / k) & (F.col("_n") > 1)).select("_digest")
     )

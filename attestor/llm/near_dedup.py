@@ -19,8 +19,8 @@ otherwise.
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.llm import shingles
-from attestor.runtime import materialise, prepare
+from attestor.runtime import materialise, prepare, settle, tidied
 
 #: Hundredths of the union that must be shared; coordinates of a sketch; rows of a band.
 PERCENT, SKETCH, ROWS = 75, 128, 4
@@ -37,14 +37,6 @@ PERCENT, SKETCH, ROWS = 75, 128, 4
 BLOCK = 400_000
 
 
-def _settle(df: DataFrame, label: str) -> DataFrame:
-    """materialise(), and let Spark drop the shuffle files of what is no longer referred to."""
-    out = materialise(df, label)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
-
-
 def _texts(batch, i: int) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(i).to_pylist()]
 
@@ -70,7 +62,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             arrays = [pa.array(sizes), pa.array([_key(s) for s in found], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[full].ravel()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], ["uid", "id", "hash", "n", "key", "bands"])
 
-    return _settle(rows.mapInArrow(run, f"uid long, id {kind}, hash long, n long, key binary, bands array<long>"), "sketched")
+    return materialise(rows.mapInArrow(tidied(run), f"uid long, id {kind}, hash long, n long, key binary, bands array<long>"), "sketched")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,7 +81,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
                 last = uid
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(found, pa.binary())], ["uid", "set"])
 
-    return _settle(joined.mapInArrow(run, "uid long, set binary"), "sets")
+    return materialise(joined.mapInArrow(tidied(run), "uid long, set binary"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -108,22 +100,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidied(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(uid, label): every node of the edges (a, b) with the least node that it reaches."""
-    both = _settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = _settle(both.groupBy(F.col("a").alias("uid")).agg(F.min("b").alias("m")).select("uid", F.least("uid", "m").alias("label")), "labels")
+    both = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = settle(both.groupBy(F.col("a").alias("uid")).agg(F.min("b").alias("m")).select("uid", F.least("uid", "m").alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("uid")).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("uid") == F.col("a")).select("uid", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("uid").alias("label"), F.col("label").alias("far"))
-        new = step.join(jump, "label", "left").select("uid", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        new = _settle(new, "labels")
-        if new.where("old <> label").isEmpty():
-            return new.select("uid", "label")
+        new = settle(step.join(jump, "label", "left").select("uid", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
         labels = new.select("uid", "label")
+        if new.where("old <> label").isEmpty():
+            return labels
 
 
 def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -138,7 +129,7 @@ def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     rows = rows.where("uid <> leader").join(once, "band").select("band", "uid", "label", "rest", "n")
     order = Window.partitionBy("band", "rest").orderBy("label", "uid")
     rows = rows.withColumn("block", F.floor(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) / BLOCK).cast("int"))
-    rows = _settle(rows, "blocks")
+    rows = settle(rows, "blocks")
     counts = rows.groupBy("band").agg(F.max(F.when(F.col("rest"), F.col("block"))).alias("last_r"), F.coalesce(F.max(F.when(~F.col("rest"), F.col("block"))), F.lit(0)).alias("last_m"))
     # tasks: (i, j) of a rest block and a main block; (i, -1 - k) of two rest blocks i < k; rest block i with itself in (i, 0)
     upto = lambda c: F.sequence(F.lit(0), F.col(c))
@@ -191,7 +182,7 @@ def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
             yield _edges(list(compare(group)))
 
     dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidied(run), "a long, b long")
 
 
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -205,22 +196,22 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
         F.min("uid").alias("uid"), F.min_by("id", "uid").alias("id"), F.min_by("hash", "uid").alias("hash"), F.first("n").alias("n"),
         F.min_by("bands", "uid").alias("bands"), F.min(F.struct(F.col("id").isNull(), "id", F.col("uid").alias("row"))).alias("least"),
     )
-    nodes = _settle(nodes, "nodes")
+    nodes = settle(nodes, "nodes")
     spread = nodes.select(F.explode("bands").alias("band"), "uid", "n")
     leaders = spread.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("uid"), "uid")).alias("l"))
     members = spread.join(leaders.where("c > 1").select("band", F.col("l.uid").alias("leader")), "band")
-    members = _settle(members, "members")
+    members = settle(members, "members")
     involved = members.select("uid").distinct()
     sets = _sets(docs, nodes.select("uid", "id", "hash", "key").join(involved, "uid"), id_col, text_col)
     stars = members.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
-    links = _settle(_verified(stars, sets, percent), "links")
+    links = settle(_verified(stars, sets, percent), "links")
     labels = components(links)
-    more = _settle(_blocks(members, labels, sets, percent), "links")
+    more = settle(_blocks(members, labels, sets, percent), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     joined = nodes.select("key", "uid", "least").join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     best = joined.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("least").alias("least"))
-    by_key = joined.select("key", "label").join(best, "label").select("key", "least")
+    by_key = settle(joined.select("key", "label").join(best, "label").select("key", "least"), "components")
     out = table.select("uid", "id", "hash", "n", "key").join(by_key, "key", "left")
     return out.select(
         "uid", "id", "hash", F.col("n").alias("n_shingles"), F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component_id"),
@@ -236,9 +227,9 @@ def find_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component, the one with the least id; columns as given."""
-    kept = _grouped(docs, id_col, text_col, percent).where("uid = first")
-    kept = kept.select(F.col("id").alias("_near_id"), F.col("hash").alias("_near_hash"))
-    rows = docs.withColumn("_near_text", F.xxhash64(text_col)).join(kept, (F.col("_near_text") == F.col("_near_hash")) & F.col(id_col).eqNullSafe(F.col("_near_id")), "left_semi")
+    tag = f"_near{uuid.uuid4().hex[:8]}"  # no column of docs
+    kept = _grouped(docs, id_col, text_col, percent).where("uid = first").select(F.col("id").alias(f"{tag}i"), F.col("hash").alias(f"{tag}h"))
+    rows = docs.withColumn(tag, F.xxhash64(text_col)).join(kept, (F.col(tag) == F.col(f"{tag}h")) & F.col(id_col).eqNullSafe(F.col(f"{tag}i")), "left_semi")
     # rows that repeat id and text: one stays
-    one = F.row_number().over(Window.partitionBy(id_col, "_near_text").orderBy(F.lit(1)))
-    return rows.withColumn("_near_n", one).where(F.col("_near_n") == 1).select(*docs.columns)
+    one = F.row_number().over(Window.partitionBy(id_col, tag).orderBy(F.lit(1)))
+    return rows.withColumn(f"{tag}n", one).where(F.col(f"{tag}n") == 1).select(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.units import UnitCache, slices
-from attestor.runtime import materialise, prepare
+from attestor.runtime import materialise, prepare, tidied
 
 #: Length of a window; open windows of a partition; partitions whose leftovers meet in one task; the id after a document.
 WINDOW, OPEN, GROUP, END_ID = 1024, 32, 64, 0
@@ -34,7 +34,7 @@ WINDOW, OPEN, GROUP, END_ID = 1024, 32, 64, 0
 #: Characters handed to the tokenizer at once: its records of a text take far more memory than the text.
 _JOINED = 200_000
 #: Units remembered; their values are short here.
-REMEMBERED = 900_000
+REMEMBERED = 300_000
 
 
 def _ranks(file: dict) -> dict[bytes, int] | None:
@@ -62,8 +62,6 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         gc.set_threshold(1_000_000)  # many small objects, no cycles
         with open(path, encoding="utf-8") as f:
             self.ranks = _ranks(json.load(f))
@@ -74,6 +72,8 @@ class Encoder:
             self.starts = np.zeros(max(self.ranks.values()) + 1, bool)
             self.starts[[r for t, r in self.ranks.items() if t[:1] == b" "]] = True
         else:
+            from tokenizers import Tokenizer
+
             self.tokenizer = Tokenizer.from_file(path)
             self.tokenizer.encode_special_tokens = True
             names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
             left = [row for _, pieces in windows.open for row in _rows(pieces, -1)]
             yield _batch(left, id_type, {"_group": part // GROUP})
 
-    placed = materialise(rows.mapInArrow(run, f"_id {kind}, {_COLUMNS}, _group long"), "packed")
+    placed = materialise(rows.mapInArrow(tidied(run), f"_id {kind}, {_COLUMNS}, _group long"), "packed")
     names = ["_id", *(c.split()[0] for c in _COLUMNS.split(", "))]
 
     def merge(key, table):

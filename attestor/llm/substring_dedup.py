@@ -12,11 +12,13 @@ document. Digests are dealt to as many tasks as the table's size asks for.
 Defined cases: a null text stays null, an empty one empty; texts of fewer than CHAIN chunks are left as
 they are; a text that wholly repeats others becomes (nearly) empty but its row stays; rows that repeat
 both id and text are treated as one and get the same text; null ids are allowed; an empty table stays
-empty; extra columns pass through.
+empty; extra columns pass through, but for ones named
+removed or n_removed, which are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.shingles import mix
-from attestor.runtime import materialise, prepare
+from attestor.runtime import materialise, prepare, tidied
 
 #: A cut where these bits are zero; bytes of a chunk at least and at most; chunks looked up together; bytes cut out at least.
 MASK, SHORTEST, LONGEST, CHAIN, LEAST = 0xF000, 8, 256, 3, 100
 #: Bytes handled at once; places resolved at once in a task; bytes of text for each bucket of digests.
-SLICE, HELD, BUCKET = 1 << 20, 1_000_000, 64 << 20
+SLICE, HELD, BUCKET = 1 << 20, 500_000, 64 << 20
 
 _r = np.random.default_rng(977)
 _GEAR = _r.integers(0, 1 << 16, 256).astype(np.uint16)
@@ -221,8 +223,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield batch_of(list(meet(blobs)), id_type)
 
     schema = f"bucket int, uid long, id {kind}, hash long, places array<int>, blob binary"
-    dealt = rows.mapInArrow(chunk, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = materialise(dealt.mapInArrow(look_up, schema).drop("bucket", "blob"), "repeats")
+    dealt = rows.mapInArrow(tidied(chunk), schema).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    found = materialise(dealt.mapInArrow(tidied(look_up), schema).drop("bucket", "blob"), "repeats")
     places = found.where("places is not null").groupBy("uid").agg(F.flatten(F.collect_list("places")).alias("places"))
     each = found.where("places is null").drop("places").join(places, "uid", "left")
     one = each.groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.min_by("places", "uid").alias("places"), F.min(F.struct("uid", F.col("places").isNull().alias("none"))).alias("_first"))
@@ -252,10 +254,9 @@ def spans(text: bytes, ends: np.ndarray, places: np.ndarray, least: int = LEAST)
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``docs`` with repeats cut out of ``text_col``, and n_removed (characters) and removed (their ranges in the text before)."""
-    found = repeats(docs, id_col, text_col)
-    rows = docs.withColumn("_chunk_hash", F.xxhash64(text_col))
-    # one branch: the join's rows are cut where they have places
-    joined = rows.join(found, (F.col("_chunk_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_chunk_hash", "_hash", "_id")
+    tag = f"_cut{uuid.uuid4().hex[:8]}"  # no column of docs
+    found = repeats(docs, id_col, text_col).select(F.col("_id").alias(f"{tag}i"), F.col("_hash").alias(f"{tag}h"), F.col("places").alias(f"{tag}p"))
+    joined = docs.withColumn(tag, F.xxhash64(text_col)).join(found, (F.col(tag) == F.col(f"{tag}h")) & F.col(id_col).eqNullSafe(F.col(f"{tag}i")), "left")
 
     @F.pandas_udf("text string, removed array<struct<start:int,end:int>>")
     def cut(texts, places):
@@ -282,7 +283,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append((b"".join(kept).decode("utf-8", "surrogatepass"), ranges))
         return pd.DataFrame(out, columns=["text", "removed"])
 
-    out = joined.withColumn("_cut", cut(F.col(text_col), F.col("places")))
-    out = out.select(*[F.col("_cut.text").alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("_cut.removed").alias("removed"))
+    out = joined.withColumn(f"{tag}c", cut(F.col(text_col), F.col(f"{tag}p")))
+    names = [c for c in docs.columns if c not in ("removed", "n_removed")]
+    out = out.select(*[F.col(f"{tag}c.text").alias(c) if c == text_col else F.col(c) for c in names], F.col(f"{tag}c.removed").alias("removed"))
     total = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]).cast("long"))
     return out.withColumn("n_removed", total)
