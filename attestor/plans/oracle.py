@@ -247,6 +247,17 @@ ORACLE_SQL = {
     "attribution": f"""WITH {SENTENCES} SELECT doc_id, CAST(idx AS INTEGER) AS idx, nullif(lower(regexp_extract({plain('sentence')}, {quoted(tx.ATTRIBUTION)}, 0, 'i')), '') AS attribution FROM s""",
     "dates": f"""WITH {SENTENCES} SELECT doc_id, CAST(idx AS INTEGER) AS idx, array_to_string(list_sort(list_distinct(list_concat(
         regexp_extract_all({plain('sentence')}, '\\b(?:19\\d\\d|20\\d\\d)\\b'), list_transform(regexp_extract_all({plain('sentence')}, {quoted(whole(lx.MONTHS))}, 0, 'i'), lambda m: lower(m))))), ',') AS dates FROM s""",
+    "numbers": f"""WITH {SENTENCES}, r AS (SELECT doc_id, idx, regexp_extract_all({plain('sentence')}, '\\$?\\b\\d+(?:\\.\\d+)?%?') AS l FROM s),
+        n AS (SELECT doc_id, idx, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM r),
+        v AS (SELECT *, CAST(trim(raw, '%,$ ') AS DOUBLE) AS val FROM n)
+        SELECT doc_id, CAST(idx AS INTEGER) AS idx, val, max_by(raw, pos) AS raw FROM v
+        WHERE NOT (regexp_full_match(raw, '\\d{{4}}') AND val BETWEEN 1900 AND 2100) GROUP BY doc_id, idx, val""",
+    "fetch_status": f"""WITH u AS ({URLS}), f AS (
+            SELECT page_id, url, [200, 401, 403, 404, 410, 429, 500, 503][((page_id % 8) + 8) % 8 + 1] AS http,
+                   CASE WHEN page_id % 11 = 0 THEN 'TIMEOUT' WHEN page_id % 13 = 0 THEN 'SSL' END AS failure, page_id % 3 = 0 AS pdf FROM u)
+        SELECT page_id, CASE WHEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) NOT IN ('http', 'https') THEN 'INVALID_URL' WHEN failure = 'TIMEOUT' THEN 'TIMEOUT'
+               WHEN failure = 'SSL' THEN 'NETWORK_ERROR' WHEN http IN (401, 403) THEN 'ACCESS_DENIED' WHEN http = 429 THEN 'RATE_LIMITED' WHEN http = 404 THEN 'NOT_FOUND'
+               WHEN http BETWEEN 400 AND 499 THEN 'CLIENT_ERROR' WHEN http >= 500 THEN 'SERVER_ERROR' WHEN pdf THEN 'NON_HTML' ELSE 'HTML' END AS status FROM f""",
     "action_directions": f"WITH {SENTENCES} SELECT doc_id, CAST(idx AS INTEGER) AS idx, {directions('sentence')} AS directions FROM s",
     "predicate_counts": f"""WITH {SENTENCES}, p AS (SELECT doc_id, idx, list_transform(regexp_split_to_array(sentence, '(?i){S}+(?:and|while|as well as){S}+'), lambda x: {trimmed('x')}) AS l FROM s)
         SELECT doc_id, CAST(idx AS INTEGER) AS idx, CAST(CASE WHEN len(l) >= 2 AND {matches('l[1]', whole(lx.PREDICATE_VERBS), True)} AND {matches('l[2]', whole(lx.PREDICATE_VERBS), True)} THEN 2 ELSE 1 END AS INTEGER) AS n_predicates FROM p""",

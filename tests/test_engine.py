@@ -224,3 +224,45 @@ def test_stream_of_claims(spark, tmp_path):
     query = claim_stream(document_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("live_claims").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [r.claim_id for r in spark.sql("select * from live_claims").collect()] == ["C001"]
+
+
+def test_verdict_invariants_on_random_evidence(spark):
+    """What holds whatever the evidence: ids come from it once each, irrelevant rows decide nothing, copies add no stream."""
+    import random
+
+    r = random.Random(11)
+    rows, claims = [], []
+    for i in range(150):
+        claims.append((i, "C001", "The court banned 40 firms in 2024."))
+        for j in range(r.randint(0, 6)):
+            level = r.choice(["DIRECT", "PARTIAL", "WEAK", "IRRELEVANT"])
+            gone = level == "IRRELEVANT"
+            stance = "NEUTRAL_IRRELEVANT" if level in ("WEAK", "IRRELEVANT") else r.choice(["SUPPORTS", "CONTRADICTS", "NEUTRAL_IRRELEVANT"])
+            strength = "INSUFFICIENT" if gone else "WEAK" if level == "WEAK" else r.choice(["STRONG", "MODERATE", "WEAK"])
+            quality = 5 * r.randint(1, 20)
+            rows.append((i, "C001", f"E{j:03d}", j, r.choice(["a.com", "b.com", "", "A.com"]), level, quality, not gone and r.random() < 0.2, not gone and r.random() < 0.6,
+                         False, False, not gone, strength, stance, quality / 100 if level in ("DIRECT", "PARTIAL") else 0.0, "IRRELEVANT" if gone else None))
+    columns = "doc_id int, claim_id string, evidence_id string, pos int, domain string, level string, quality_score int, is_primary boolean, is_independent boolean, is_opinion boolean, is_wire boolean, is_relevant boolean, evidence_strength string, stance string, weight double, demotion_reason string"
+    judged = spark.createDataFrame(rows, columns)
+    out = vd.verdicts(spark.createDataFrame(claims, "doc_id int, claim_id string, claim_text string"), judged).collect()
+    assert len(out) == 150
+    for v in out:
+        mine = [x for x in rows if x[0] == v.doc_id]
+        ids = v.supporting_evidence_ids + v.contradicting_evidence_ids + v.neutral_evidence_ids + v.filtered_evidence_ids
+        assert sorted(ids) == sorted(x[2] for x in mine)
+        assert sorted(v.filtered_evidence_ids) == sorted(x[2] for x in mine if x[5] == "IRRELEVANT")
+        assert set(v.audit_notes or {}) == {x[2] for x in mine}
+        support = [x for x in mine if x[2] in v.supporting_evidence_ids and x[8]]
+        streams = {}
+        for x in support:
+            key = x[4].lower() or x[2]
+            streams[key] = max(streams.get(key, 0), x[14])
+        assert v.independent_supporting_streams == len(streams) and abs(v.support_score - sum(streams.values())) < 1e-9
+        if not mine:
+            assert v.basis == "NO_EVIDENCE" and v.final_stance == "UNCERTAIN"
+        if v.final_stance == "CONTRADICTED":
+            assert v.contradicting_evidence_ids and (v.basis == "PRIMARY_CONTRADICTION" or not v.supporting_evidence_ids)
+        if v.final_stance == "SUPPORTED":
+            assert v.supporting_evidence_ids and (v.basis == "PRIMARY_SUPPORT" or not v.contradicting_evidence_ids)
+    reports = vd.reports(spark.createDataFrame(out)).collect()
+    assert all(x.supported_claims + x.contradicted_claims + x.uncertain_claims == x.total_claims for x in reports)
