@@ -31,18 +31,18 @@ def words_of(text: str) -> list[str]:
     return [p.strip() for p in parts if p.strip()]
 
 
-def one_of(words: list[str] | str) -> str:
-    """An alternation; a space in an entry stands for any white space."""
+def one_of(words: list[str] | str, gap: str = r"\s+") -> str:
+    """An alternation; a space in an entry stands for ``gap``."""
     entries = words_of(words) if isinstance(words, str) else words
-    return "(?:" + "|".join(w.replace(".", r"\.").replace(" ", r"\s+") for w in entries) + ")"
+    return "(?:" + "|".join(w.replace(".", r"\.").replace(" ", gap) for w in entries) + ")"
 
 
-def whole(words: list[str] | str) -> str:
+def whole(words: list[str] | str, gap: str = r"\s+") -> str:
     """Any of the entries as whole words; plain look-arounds where every entry starts and ends in ASCII."""
     entries = words_of(words) if isinstance(words, str) else words
     if all(w[0].isascii() and w[-1].isascii() and w[0].isalnum() and w[-1].isalnum() for w in entries):
-        return rf"(?<!\w){one_of(entries)}(?!\w)"
-    return rf"\b{one_of(entries)}\b"
+        return rf"(?<!\w){one_of(entries, gap)}(?!\w)"
+    return rf"\b{one_of(entries, gap)}\b"
 
 
 def has(text: Column, pattern: str, ignore_case: bool = False) -> Column:

@@ -59,7 +59,7 @@ def is_wire(title: Column, snippet: Column, domain: Column) -> Column:
 
 
 def is_clickbait(title: Column) -> Column:
-    shouts = count(title, whole(lx.SHOUTS))
+    shouts = count(title, whole(lx.SHOUTS, " "))
     return has(title, r"[!?]{2,}") | (shouts >= 2) | ((shouts == 1) & (F.size(split_words(title)) <= 6)) | has(title, lx.BAIT, True)
 
 

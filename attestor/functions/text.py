@@ -136,7 +136,7 @@ def dates(text: Column) -> Column:
 
 
 def is_negated(text: Column) -> Column:
-    return has(text, whole(lx.NEGATIONS), True) | has(text, whole(lx.HINDI_NEGATIONS))
+    return has(text, whole(lx.NEGATIONS, " "), True) | has(text, whole(lx.HINDI_NEGATIONS))
 
 
 ATTRIBUTION = r"\b(?:according to|alleged|claimed|stated|said|reported by|spokesperson said|official said|police said|leaders alleged|minister stated|sources said|cited as saying)\b"

@@ -39,8 +39,8 @@ def tokens(x: str) -> str:
     return rf"regexp_extract_all(lower({x}), '[ऀ-ॿ\p{{L}}\p{{N}}_]+')"
 
 
-def whole(entries) -> str:
-    return rf"\b{one_of(entries)}\b"
+def whole(entries, gap: str = r"\s+") -> str:
+    return rf"\b{one_of(entries, gap)}\b"
 
 
 def matches(x: str, pattern: str, fold: bool = False) -> str:
@@ -127,7 +127,7 @@ OPINION = (
     f"CASE WHEN regexp_matches(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), {quoted(lx.OPINION_PATH)}, 'i') THEN 'URL' "
     f"WHEN regexp_matches(title, {quoted(lx.OPINION_TITLE)}, 'i') THEN 'TITLE' WHEN regexp_matches(snippet, {quoted(lx.OPINION_TITLE)}, 'i') THEN 'SNIPPET' END"
 )
-_SHOUTS = f"len(regexp_extract_all({plain('title')}, {quoted(whole(lx.SHOUTS))}))"
+_SHOUTS = f"len(regexp_extract_all({plain('title')}, {quoted(whole(lx.SHOUTS, " "))}))"
 CLICKBAIT = f"(regexp_matches(title, '[!?]{{2,}}') OR {_SHOUTS} >= 2 OR ({_SHOUTS} = 1 AND len({words('title')}) <= 6) OR {matches('title', lx.BAIT, True)})"
 QUOTES = f"(regexp_matches({_BOTH}, {quoted(lx.QUOTE)}) OR contains(lower({_BOTH}), 'according to'))"
 METRICS = f"(regexp_matches({_BOTH}, '[0-9]') AND {matches(_BOTH, r'\b\d')} OR {matches(_BOTH, lx.LEGAL, True)})"
@@ -242,7 +242,7 @@ ORACLE_SQL = {
                CAST(idx AS INTEGER) AS source_sentence_index, CAST(score AS INTEGER) AS priority_score
         FROM r WHERE k <= 5""",
     "importance": f"WITH {SENTENCES} SELECT doc_id, CAST(idx AS INTEGER) AS idx, {importance('sentence')} AS importance FROM s",
-    "negation": f"""WITH {SENTENCES} SELECT doc_id, CAST(idx AS INTEGER) AS idx, {matches('sentence', whole(lx.NEGATIONS), True)}
+    "negation": f"""WITH {SENTENCES} SELECT doc_id, CAST(idx AS INTEGER) AS idx, {matches('sentence', whole(lx.NEGATIONS, " "), True)}
         OR regexp_matches(sentence, '(^|[^\\p{{L}}\\p{{N}}_])(इनकार|खारिज|गलत|झूठ)([^\\p{{L}}\\p{{N}}_]|$)') AS is_negated FROM s""",
     "attribution": f"""WITH {SENTENCES} SELECT doc_id, CAST(idx AS INTEGER) AS idx, nullif(lower(regexp_extract({plain('sentence')}, {quoted(tx.ATTRIBUTION)}, 0, 'i')), '') AS attribution FROM s""",
     "dates": f"""WITH {SENTENCES} SELECT doc_id, CAST(idx AS INTEGER) AS idx, array_to_string(list_sort(list_distinct(list_concat(
