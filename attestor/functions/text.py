@@ -12,11 +12,11 @@ from attestor.functions.dialect import (
 
 #: Bounds of a claim.
 LEAST_CHARS, LEAST_WORDS = 20, 4
-DOT = "@@DOT@@"
 
-NUMERIC = r"\b\d+(?:\.\d+)?%?\b"
-#: Years are numbers already, so they need no alternative of their own.
-FACTUAL = rf"(?:{NUMERIC}|{whole(lx.MONTHS + lx.MONEY_WORDS + lx.REPORT_VERBS + lx.INSTITUTIONS)}|[{lx.CURRENCY}]|{one_of(lx.HINDI_FACTS)})"
+NUMERIC = r"(?<!\w)\d+(?:\.\d+)?%?\b"
+#: For texts in lower case. Years are numbers already, so they need no alternative of their own.
+_FACT_WORDS = lx.MONTHS + lx.MONEY_WORDS + lx.REPORT_VERBS + lx.INSTITUTIONS
+FACTUAL = rf"(?<!\w)(?:\d+(?:\.\d+)?%?\b|{one_of(_FACT_WORDS)}(?!\w))|[{lx.CURRENCY}]|{one_of(lx.HINDI_FACTS)}"
 
 
 def clean(text: Column) -> Column:
@@ -27,16 +27,14 @@ def clean(text: Column) -> Column:
     return strip(out)
 
 
+#: The end of a sentence: white space after its last mark, unless that is an abbreviation's point; or a new line.
+_END = rf"(?<=[.!?।॥])(?<!(?<!\w){one_of(lx.ABBREVIATIONS + lx.DOTTED_ABBREVIATIONS)}\.)\s+|\n+"
+
+
 def sentences(text: Column) -> Column:
-    """The sentences of a text; points of abbreviations and decimals do not end one."""
-    out = strip(F.coalesce(text, F.lit("")))
-    for word in lx.DOTTED_ABBREVIATIONS:
-        a, b = word.split(".")
-        out = replace(out, rf"\b({a})\.({b})\.", f"$1{DOT}$2{DOT}", True)
-    out = replace(out, rf"\b{one_of(lx.ABBREVIATIONS).replace('(?:', '(')}\.", f"$1{DOT}", True)
-    out = replace(out, r"(\d+)\.(\d+)", f"$1{DOT}$2")
-    parts = F.split(out, java(r"(?<=[.!?।॥])\s+|\n+"))
-    return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(DOT), F.lit(".")))), lambda s: s != "")
+    """The sentences of a text; points of abbreviations do not end one, nor do those of decimals, which no space follows."""
+    parts = F.split(strip(F.coalesce(text, F.lit(""))), java(_END, True))
+    return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
 def is_long_enough(sentence: Column) -> Column:
@@ -45,7 +43,7 @@ def is_long_enough(sentence: Column) -> Column:
 
 def facts(sentence: Column) -> Column:
     """How many numbers, months, amounts, reporting verbs, institutions and currency signs a sentence has."""
-    return count(sentence, FACTUAL, True)
+    return count(F.lower(sentence), FACTUAL)
 
 
 def is_checkable(sentence: Column, n_facts: Column) -> Column:

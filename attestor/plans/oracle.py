@@ -47,6 +47,8 @@ def matches(x: str, pattern: str, fold: bool = False) -> str:
     return f"regexp_matches({plain(x)}, {quoted(pattern)}{', ' + quoted('i') if fold else ''})"
 
 
+#: Stands for a point that does not end a sentence.
+DOT = "@@DOT@@"
 NUMERIC = r"\b\d+(?:\.\d+)?%?\b"
 KEYWORDS = lx.MONTHS + lx.MONEY_WORDS + lx.REPORT_VERBS + lx.INSTITUTIONS
 
@@ -61,14 +63,14 @@ def facts(x: str) -> str:
 def sentence_list(x: str) -> str:
     out = trimmed(f"coalesce({x}, '')")
     for pattern, by in (
-        (rf"(^|[^\p{{L}}\p{{N}}_])(e)\.(g)\.|(^|[^\p{{L}}\p{{N}}_])(i)\.(e)\.", rf"\1\4\2\5{tx.DOT}\3\6{tx.DOT}"),
-        (rf"(^|[^\p{{L}}\p{{N}}_])(u)\.([skn])\.", rf"\1\2{tx.DOT}\3{tx.DOT}"),
-        (rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(lx.ABBREVIATIONS)})\.", rf"\1\2{tx.DOT}"),
+        (rf"(^|[^\p{{L}}\p{{N}}_])(e)\.(g)\.|(^|[^\p{{L}}\p{{N}}_])(i)\.(e)\.", rf"\1\4\2\5{DOT}\3\6{DOT}"),
+        (rf"(^|[^\p{{L}}\p{{N}}_])(u)\.([skn])\.", rf"\1\2{DOT}\3{DOT}"),
+        (rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(lx.ABBREVIATIONS)})\.", rf"\1\2{DOT}"),
     ):
         out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(by)}, 'gi')"
-    out = rf"regexp_replace({out}, '(\d+)\.(\d+)', '\1{tx.DOT}\2', 'g')"
+    out = rf"regexp_replace({out}, '(\d+)\.(\d+)', '\1{DOT}\2', 'g')"
     out = rf"string_split(regexp_replace({out}, '([.!?।॥]){S}+|\n+', '\1' || chr(1), 'g'), chr(1))"
-    return f"list_filter(list_transform({out}, lambda s: {trimmed(f'replace(s, {quoted(tx.DOT)}, {quoted('.')})')}), lambda s: s <> '')"
+    return f"list_filter(list_transform({out}, lambda s: {trimmed(f'replace(s, {quoted(DOT)}, {quoted('.')})')}), lambda s: s <> '')"
 
 
 TEXTS = f"SELECT doc_id, text FROM documents UNION ALL {fx.values('doc_id, text', [(-1 - i, t) for i, t in enumerate(fx.SENTENCES)])}"
