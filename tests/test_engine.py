@@ -175,7 +175,7 @@ def test_registry(spark):
 
 
 def test_whole_plan_with_built_in_topics(spark):
-    from attestor.plans.verify import verify
+    from attestor.plans.verify import report_lines, verify
 
     docs = spark.createDataFrame([(1, "The RBI kept the repo rate unchanged at 6.5%. The weather was nice in the hills today."), (2, "")], "doc_id long, text string")
     out = verify(docs, se.topic_provider)
@@ -186,6 +186,8 @@ def test_whole_plan_with_built_in_topics(spark):
     reports = {r.doc_id: r for r in out["reports"].collect()}
     assert reports[2].total_claims == 0 and reports[2].summary == "No claims." and reports[1].total_claims == 2
     assert {r.doc_id for r in out["summaries"].collect()} == {1}
+    lines = {(r.doc_id, r.line_no): r.line for r in report_lines(out).collect()}
+    assert lines[2, 0] == "INSUFFICIENT_EVIDENCE: No claims." and lines[1, 1].startswith("C001 SUPPORTED (STRONG") and len(lines) == 4
 
 
 def test_rest_answers(spark):
@@ -200,6 +202,23 @@ def test_rest_answers(spark):
     assert [(r["rank"], r.title, r.domain, r.publication_date) for r in out[1].results] == [(1, "a", "x.com", "2024-01-01"), (3, "Untitled Source", "", None)]
 
 
+def test_rest_requests_and_statuses(spark):
+    import json
+
+    queries = spark.createDataFrame([(1, " rates "), (2, "  "), (3, None)], "query_key long, query_text string")
+    rows = {r.query_key: r for r in se.rest_requests(queries, 99).collect()}
+    assert json.loads(rows[1].body) == {"query": "rates", "search_depth": "basic", "max_results": 10, "include_answer": False}
+    assert [rows[k].status for k in (1, 2, 3)] == [None, "NO_RESULTS", "NO_RESULTS"]
+    claims = spark.createDataFrame([(1, "C001", "a"), (1, "C002", "b"), (1, "C003", "c")], "doc_id int, claim_id string, query_text string")
+    keyed = claims.withColumn("query_key", F.xxhash64("query_text"))
+    body = '{"results":[{"title":"t","url":"https://x.com/1","content":"c"}]}'
+    answers = keyed.select("query_key", F.when(F.col("claim_id") == "C003", 429).otherwise(200).alias("http_status"),
+                           F.when(F.col("claim_id") == "C001", body).otherwise('{"results":[]}').alias("body"), F.lit(None).cast("string").alias("failure"))
+    evidence = rt.retrieve(claims, se.answers_provider(answers))
+    out = rt.with_status(claims, evidence, statuses=se.decode_answer(answers).select("query_key", "status"))
+    assert {r.claim_id: (r.status, r.source_count) for r in out.collect()} == {"C001": ("SUCCESS", 1), "C002": ("NO_RESULTS", 0), "C003": ("RATE_LIMITED", 0)}
+
+
 PAGE = """<html><head><title>Site title of the page - Name</title><meta property="og:title" content="The title"><link rel="canonical" href="https://e.com/c"></head><body>
 <header>menu</header><article><p>{0}</p><p>{0}</p><p>Also Read: something that is quite another story altogether</p><figcaption>Photo: Getty Images of the event here today</figcaption>
 <div class="newsletter"><p>Sign up for our letters and get all of the news every day</p></div><p>{1}</p></article><footer>foot</footer></body></html>"""
