@@ -127,10 +127,10 @@ def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.count_if("rest").alias("r"), mark(1).alias("s"), mark(2).alias("t")).where("c > 2 and r > 0")
     once = buckets.groupBy("c", "s", "t").agg(F.min("band").alias("band")).select("band")
     rows = rows.where("uid <> leader").join(once, "band").select("band", "uid", "label", "rest", "n")
-    order = Window.partitionBy("band", "rest").orderBy("label", "uid")
-    rows = rows.withColumn("block", F.floor(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) / BLOCK).cast("int"))
     rows = settle(rows, "blocks")
-    counts = rows.groupBy("band").agg(F.max(F.when(F.col("rest"), F.col("block"))).alias("last_r"), F.coalesce(F.max(F.when(~F.col("rest"), F.col("block"))), F.lit(0)).alias("last_m"))
+    # blocks by a hash of the node, as many as the nodes' sets ask for: even, and without ordering a bucket in one task
+    last = lambda cond: F.floor(F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)) / BLOCK).cast("int")
+    counts = rows.groupBy("band").agg(F.count_if("rest").alias("_r"), last(F.col("rest")).alias("last_r"), last(~F.col("rest")).alias("last_m")).where("_r > 0").drop("_r")
     # tasks: (i, j) of a rest block and a main block; (i, -1 - k) of two rest blocks i < k; rest block i with itself in (i, 0)
     upto = lambda c: F.sequence(F.lit(0), F.col(c))
     rest_tasks = F.concat(
@@ -139,7 +139,8 @@ def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
         F.transform(F.filter(upto("last_r"), lambda k: k < F.col("block")), lambda k: F.struct(k.alias("i"), (-1 - F.col("block")).alias("j"))),
     )
     tasks = F.when(F.col("rest"), rest_tasks).otherwise(F.transform(upto("last_r"), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"))))
-    rows = rows.join(counts, "band").where("last_r is not null").select("band", "uid", "label", "rest", "block", F.explode(tasks).alias("task"))
+    block = F.pmod(F.xxhash64("uid", F.lit(3)), F.when(F.col("rest"), F.col("last_r")).otherwise(F.col("last_m")) + 1).cast("int")
+    rows = rows.join(counts, "band").withColumn("block", block).select("band", "uid", "label", "rest", "block", F.explode(tasks).alias("task"))
     rows = rows.join(sets, "uid").select("band", "task.i", "task.j", "uid", "label", "rest", "block", "set")
 
     def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:

@@ -199,7 +199,9 @@ def plain_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def test_find_near_copies(docs, nothing):
+@pytest.mark.parametrize("block", [400_000, 300])
+def test_find_near_copies(docs, nothing, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     sets = [plain_set(t) for _, t in ROWS]
     root = list(range(len(ROWS)))
 
