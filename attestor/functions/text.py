@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,16 +100,12 @@ def stem(word: Column) -> Column:
 
 
 def substantive(text: Column) -> Column:
-    """The distinct tokens that carry meaning, each with its stem."""
-    hindi, other = literal(lx.HINDI_STOPWORDS), literal(lx.RELEVANCE_STOPWORDS)
-    keep = lambda w: ~F.array_contains(other, w) & (F.length(w) >= 3)
-
-    def forms(w):
-        return F.when(is_devanagari(w), F.when((F.length(w) >= 2) & ~F.array_contains(hindi, w), F.array(w)).otherwise(strings(F.array()))).otherwise(
-            F.when(keep(w), F.when(keep(stem(w)), F.array(w, stem(w))).otherwise(F.array(w))).otherwise(strings(F.array()))
-        )
-
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens(F.lower(text))), forms)))
+    """The distinct tokens that carry meaning, and their stems. Stop words go by array_except, which hashes them."""
+    found = F.array_distinct(tokens(F.lower(text)))
+    hindi = F.array_except(F.filter(found, lambda w: is_devanagari(w) & (F.length(w) >= 2)), literal(lx.HINDI_STOPWORDS))
+    other = F.array_except(F.filter(found, lambda w: ~is_devanagari(w) & (F.length(w) >= 3)), literal(lx.RELEVANCE_STOPWORDS))
+    stems = F.array_except(F.filter(F.transform(other, stem), lambda w: F.length(w) >= 3), literal(lx.RELEVANCE_STOPWORDS))
+    return F.array_distinct(F.concat(hindi, other, stems))
 
 
 def domain_of(url: Column) -> Column:
@@ -159,20 +157,21 @@ def actions(text: Column) -> Column:
     """Action words of a text: known verbs, words in -ed and -ing, Hindi actions anywhere; sorted."""
     words = F.array_distinct(tokens(F.lower(text)))
     known = F.array_intersect(words, literal(ACTION_WORDS))
-    formed = F.filter(words, lambda w: (F.length(w) >= 4) & F.rlike(w, F.lit("(?:ed|ing)$")) & ~member(w, lx.QUERY_STOPWORDS))
+    formed = F.array_except(F.filter(words, lambda w: (F.length(w) >= 4) & F.rlike(w, F.lit("(?:ed|ing)$"))), literal(lx.QUERY_STOPWORDS))
     hindi = F.filter(literal(lx.HINDI_ACTIONS), lambda h: F.contains(F.lower(text), h))
     return F.array_sort(F.array_distinct(F.concat(known, formed, hindi)))
 
 
+_HINDI = re.compile("[\u0900-\u097f]")
+_SUBJECT_STOPS = [w for w in {*lx.QUERY_STOPWORDS, *ACTION_WORDS} if not _HINDI.search(w)]
+
+
 def subjects(text: Column) -> Column:
     """Words of a text that can name what it is about, sorted."""
     found = F.transform(F.regexp_extract_all(text, F.lit(r"([\x{0900}-\x{097F}\p{L}\p{N}_\-]{2,})"), F.lit(1)), F.lower)
-    skip_hindi, skip = lx.HINDI_STOPWORDS + lx.HINDI_ACTIONS, sorted({*lx.QUERY_STOPWORDS, *ACTION_WORDS})
-    keep = F.filter(
-        F.array_distinct(found),
-        lambda w: ~F.rlike(w, F.lit(r"^\p{N}+$")) & F.when(is_devanagari(w), ~member(w, skip_hindi)).otherwise((F.length(w) >= 3) & ~member(w, skip)),
-    )
-    return F.array_sort(keep)
+    named = F.filter(F.array_distinct(found), lambda w: ~F.rlike(w, F.lit(r"^\p{N}+$")) & (is_devanagari(w) | (F.length(w) >= 3)))
+    # stop words and verbs of either script leave words of the other alone; Hindi verbs stand in both lists
+    return F.array_sort(F.array_except(named, literal(sorted({*lx.HINDI_STOPWORDS, *lx.HINDI_ACTIONS, *_SUBJECT_STOPS}))))
 
 
 def representation(text: Column) -> Column:

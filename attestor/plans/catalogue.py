@@ -179,6 +179,12 @@ def verified_reports(spark, sf_dir):
     return _verified(spark, sf_dir)["reports"].select("doc_id", "total_claims", "supported_claims", "contradicted_claims", "uncertain_claims", "overall_assessment")
 
 
+def verified_documents(spark, sf_dir):
+    """The whole plan over all documents, with the pages as the corpus that is searched."""
+    out = verify(read(spark, sf_dir, "documents").select("doc_id", "text"), _provider(spark, sf_dir))
+    return out["verdicts"].select("doc_id", "claim_id", "importance", "final_stance", "basis", "evidence_strength", "relevant_count", "filtered_count")
+
+
 def _judged(spark):
     return spark.sql(fx.values(fx.JUDGED_COLUMNS, fx.JUDGED)).withColumn("weight", F.col("weight").cast("double"))
 
@@ -219,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         top_claims, validate_text, validate_url, url_domain, clean_text, viable_claims, atomic_predicates, claim_parts, search_queries, numbers, paragraph_dedup, articles,
-        fetch_status, source_flags, independence, quality, claim_eval_summary, diversity_cap, registry_search, corpus_retrieve, relevance_levels, verified_reports,
+        fetch_status, source_flags, independence, quality, claim_eval_summary, diversity_cap, registry_search, corpus_retrieve, relevance_levels, verified_reports, verified_documents,
         stream_consensus, claim_verdict, article_report, verdict_rollup,
     )
 } | {
