@@ -17,7 +17,7 @@ from attestor.operators import verdict as vd
 from attestor.plans import fixtures as fx
 from attestor.plans.oracle import ORACLE_SQL  # noqa: F401
 from attestor.plans.verify import verify
-from attestor.runtime import read
+from attestor.runtime import materialise, read
 from attestor.sources import fetch as fe
 from attestor.sources import search as se
 
@@ -157,7 +157,7 @@ def registry_search(spark, sf_dir):
 
 def _provider(spark, sf_dir):
     pages = _article_rows(spark, sf_dir).where("status = 'SUCCESS'").select("page_id", "title", "text", "url")
-    return se.corpus_provider(pages)
+    return se.corpus_provider(materialise(pages, "articles"))  # read three times: index, frequencies, results
 
 
 def corpus_retrieve(spark, sf_dir):
