@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.shingles import mix
-from attestor.runtime import materialise, prepare, tidied
+from attestor.runtime import prepare, tidied
 
 #: A cut where these bits are zero; bytes of a chunk at least and at most; chunks looked up together; bytes cut out at least.
 MASK, SHORTEST, LONGEST, CHAIN, LEAST = 0xF000, 8, 256, 3, 100
-#: Bytes handled at once; places resolved at once in a task; bytes of text for each bucket of digests.
-SLICE, HELD, BUCKET = 1 << 20, 500_000, 64 << 20
+#: Bytes handled at once; places resolved at once in a task; bytes of text for each bucket of digests; tasks that resolve buckets, one after the other.
+SLICE, HELD, BUCKET, TASKS = 1 << 20, 500_000, 16 << 20, 100_000
 
 _r = np.random.default_rng(977)
 _GEAR = _r.integers(0, 1 << 16, 256).astype(np.uint16)
@@ -223,12 +223,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield batch_of(list(meet(blobs)), id_type)
 
     schema = f"bucket int, uid long, id {kind}, hash long, places array<int>, blob binary"
-    dealt = rows.mapInArrow(tidied(chunk), schema).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = materialise(dealt.mapInArrow(tidied(look_up), schema).drop("bucket", "blob"), "repeats")
-    places = found.where("places is not null").groupBy("uid").agg(F.flatten(F.collect_list("places")).alias("places"))
-    each = found.where("places is null").drop("places").join(places, "uid", "left")
-    one = each.groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg(F.min_by("places", "uid").alias("places"), F.min(F.struct("uid", F.col("places").isNull().alias("none"))).alias("_first"))
-    return one.where("not _first.none").drop("_first")
+    dealt = rows.mapInArrow(tidied(chunk), schema).repartition(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(tidied(look_up), schema)
+    # rows of documents hold id and hash, rows of repeats places; they meet by document, then rows that repeat id and text
+    each = found.groupBy("uid").agg(F.max("id").alias("_id"), F.max("hash").alias("_hash"), F.flatten(F.collect_list("places")).alias("places"))
+    one = each.groupBy("_id", "_hash").agg(F.min_by("places", "uid").alias("places"))
+    return one.where(F.size("places") > 0)
 
 
 def spans(text: bytes, ends: np.ndarray, places: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
