@@ -30,6 +30,8 @@ from attestor.runtime import prepare, tidied
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
 
+#: Units that a worker remembers with their ids, over its tasks.
+REMEMBERED = 1_000_000
 #: Places from which merges are done as arrays; a rank beyond all ranks.
 MANY, NONE = 48, 1 << 62
 
@@ -228,7 +230,7 @@ def _cache(path: str) -> UnitCache:
     if path not in _loaded:
         gc.set_threshold(1_000_000)  # tables of many small tuples, no cycles
         merges = Merges(path)
-        _loaded[path] = merges, UnitCache(merges.units)
+        _loaded[path] = merges, UnitCache(merges.units, REMEMBERED)
     return _loaded[path][1]
 
 
