@@ -17,7 +17,7 @@ from attestor.operators import verdict as vd
 from attestor.plans import fixtures as fx
 from attestor.plans.oracle import ORACLE_SQL  # noqa: F401
 from attestor.plans.verify import verify
-from attestor.runtime import materialise, read
+from attestor.runtime import materialise, read, spread
 from attestor.sources import fetch as fe
 from attestor.sources import search as se
 
@@ -25,7 +25,7 @@ from attestor.sources import search as se
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with fixture sentences beside them since the documents' words are invented."""
     more = spark.sql(fx.values("doc_id, text", [(-1 - i, t) for i, t in enumerate(fx.SENTENCES)]))
-    return read(spark, sf_dir, "documents").select("doc_id", "text").unionByName(more.select(F.col("doc_id").cast("long"), "text"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(more.select(F.col("doc_id").cast("long"), "text"))
 
 
 def _urls(spark, sf_dir):
@@ -96,7 +96,7 @@ def paragraph_dedup(spark, sf_dir):
 
 
 def _article_rows(spark, sf_dir):
-    return fe.articles(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "article.*")
+    return fe.articles(spread(read(spark, sf_dir, "pages").select("page_id", "url", "html"))).select("page_id", "url", "article.*")
 
 
 def articles(spark, sf_dir):
@@ -181,7 +181,7 @@ def verified_reports(spark, sf_dir):
 
 def verified_documents(spark, sf_dir):
     """The whole plan over all documents, with the pages as the corpus that is searched."""
-    out = verify(read(spark, sf_dir, "documents").select("doc_id", "text"), _provider(spark, sf_dir))
+    out = verify(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), _provider(spark, sf_dir))
     return out["verdicts"].select("doc_id", "claim_id", "importance", "final_stance", "basis", "evidence_strength", "relevant_count", "filtered_count")
 
 
