@@ -190,6 +190,17 @@ def test_whole_plan_with_built_in_topics(spark):
     assert lines[2, 0] == "INSUFFICIENT_EVIDENCE: No claims." and lines[1, 1].startswith("C001 SUPPORTED (STRONG") and len(lines) == 4
 
 
+def test_evidence_at_the_end_of_a_long_page(spark):
+    """A page is judged by all of its text, not by how it begins."""
+    from attestor.plans.verify import verify
+
+    claim = "The Reserve Bank of India kept the repo rate unchanged at 6.5% on 8 February 2024."
+    text = "Gardens need water in summer. " * 2000 + claim
+    pages = spark.createDataFrame([(1, "Morning notes", text, "https://www.thehindu.com/a")], "page_id long, title string, text string, url string")
+    out = verify(spark.createDataFrame([(1, claim)], "doc_id int, text string"), se.corpus_provider(pages), store=False)
+    assert [(r.level, r.stance, r.snippet) for r in out["judged"].collect()] == [("DIRECT", "SUPPORTS", text)]
+
+
 def test_rest_answers(spark):
     rows = [
         (1, 200, '{"results":[{"title":"a","url":"https://www.x.com/1","content":"c","published_date":"2024-01-01T00:00"},5,{"url":"u"}]}', None),
