@@ -201,6 +201,27 @@ def test_evidence_at_the_end_of_a_long_page(spark):
     assert [(r.level, r.stance, r.snippet) for r in out["judged"].collect()] == [("DIRECT", "SUPPORTS", text)]
 
 
+def test_corpus_search_against_brute_force(spark, monkeypatch):
+    """The overlap counts all words of a query, in however many ranges and chunks."""
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    draw = lambda n: [words[min(int(r.expovariate(0.08)), 59)] for _ in range(n)]
+    pages = {i: draw(r.randint(5, 60)) for i in range(80)} | {80: words[:15], 81: words[40:]}
+    queries = {i: draw(r.randint(1, 40)) for i in range(30)} | {30: words[:15] + words[55:], 31: ["absent"]}
+    monkeypatch.setattr(se, "RANGE", 30)
+    monkeypatch.setattr(se, "CHUNK", 12)
+    table = spark.createDataFrame([(i, "", " ".join(p), f"https://a.com/{i}") for i, p in pages.items()], "page_id long, title string, text string, url string")
+    asked = spark.createDataFrame([(i, " ".join(q)) for i, q in queries.items()], "query_key long, query_text string")
+    got = sorted((x.query_key, x["rank"], int(x.url[14:])) for x in se.corpus_provider(table)(asked, 6).collect())
+    want = []
+    for k, q in queries.items():
+        best = sorted((-len(set(q) & set(p)), i) for i, p in pages.items() if set(q) & set(p))[:6]
+        want += [(k, n, i) for n, (_, i) in enumerate(best, 1)]
+    assert got == want
+
+
 def test_rest_answers(spark):
     rows = [
         (1, 200, '{"results":[{"title":"a","url":"https://www.x.com/1","content":"c","published_date":"2024-01-01T00:00"},5,{"url":"u"}]}', None),
