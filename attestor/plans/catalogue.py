@@ -123,22 +123,22 @@ def _evaluated(spark):
     return ev.evaluate(_evidence(spark), relevance=False)
 
 
-def source_flags(spark, sf_dir):
-    return _evaluated(spark).select(
+def _source_flags(rows):
+    return rows.select(
         "doc_id", "claim_id", "evidence_id", "provenance", "opinion_reason", "is_clickbait", "agency", "is_wire", "has_quotes", "has_metrics", "has_named"
     )
 
 
-def independence(spark, sf_dir):
-    return _evaluated(spark).select("doc_id", "claim_id", "evidence_id", "duplicate_wire", "duplicate_domain")
+def _independence(rows):
+    return rows.select("doc_id", "claim_id", "evidence_id", "duplicate_wire", "duplicate_domain")
 
 
-def quality(spark, sf_dir):
-    return _evaluated(spark).select("doc_id", "claim_id", "evidence_id", "category", "quality_score", "is_primary", "is_independent", "evidence_strength")
+def _quality(rows):
+    return rows.select("doc_id", "claim_id", "evidence_id", "category", "quality_score", "is_primary", "is_independent", "evidence_strength")
 
 
-def claim_eval_summary(spark, sf_dir):
-    out = ev.summarise(_evaluated(spark)).withColumn("domains", F.array_join("unique_domains", ","))
+def _claim_eval_summary(rows):
+    out = ev.summarise(rows).withColumn("domains", F.array_join("unique_domains", ","))
     return out.drop("unique_domains", "unique_domain_count", "has_sufficient")
 
 
@@ -193,16 +193,16 @@ def _verdicts(spark):
     return vd.verdicts(spark.sql(fx.values("doc_id, claim_id, claim_text", fx.JUDGED_CLAIMS)), _judged(spark))
 
 
-def stream_consensus(spark, sf_dir):
-    rows = _verdicts(spark).select("doc_id", "claim_id", F.explode(F.array(
+def _stream_consensus(verdicts):
+    rows = verdicts.select("doc_id", "claim_id", F.explode(F.array(
         F.struct(F.lit("s").alias("side"), F.col("independent_supporting_streams").alias("streams"), F.col("support_score").alias("score")),
         F.struct(F.lit("x").alias("side"), F.col("independent_contradicting_streams").alias("streams"), F.col("contradict_score").alias("score")),
     )).alias("r"))
     return rows.select("doc_id", "claim_id", "r.side", F.col("r.streams").cast("long").alias("streams"), F.round("r.score", 6).alias("score")).where("streams > 0")
 
 
-def claim_verdict(spark, sf_dir):
-    return _verdicts(spark).select(
+def _claim_verdict(verdicts):
+    return verdicts.select(
         "doc_id", "claim_id", "importance", "basis", "final_stance", "evidence_strength", F.array_join("supporting_evidence_ids", ",").alias("supporting"),
         F.array_join("contradicting_evidence_ids", ",").alias("contradicting"), F.round("support_score", 6).alias("support_score"),
         F.round("contradict_score", 6).alias("contradict_score"), F.col("independent_supporting_streams").alias("support_streams"),
@@ -210,25 +210,42 @@ def claim_verdict(spark, sf_dir):
     )
 
 
-def article_report(spark, sf_dir):
-    return vd.reports(_verdicts(spark)).select(
+def _article_report(verdicts):
+    return vd.reports(verdicts).select(
         "doc_id", "total_claims", "supported_claims", "contradicted_claims", "uncertain_claims", "high_importance_claims",
         F.col("total_primary").cast("long"), F.col("total_independent").cast("long"), "total_unique_domains", "overall_assessment",
     )
 
 
-def verdict_rollup(spark, sf_dir):
-    return _verdicts(spark).cube("doc_id", "final_stance").agg(F.count(F.lit(1)).alias("n"))
+def _verdict_rollup(verdicts):
+    return verdicts.cube("doc_id", "final_stance").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Operators on evaluated evidence and on verdicts: each is a query of its name over the fixture rows that its SQL states, and
+#: one with ``verified_`` before its name over what the whole plan finds for all benchmark items.
+ON_EVIDENCE = {"source_flags": _source_flags, "independence": _independence, "quality": _quality, "claim_eval_summary": _claim_eval_summary}
+ON_VERDICTS = {"stream_consensus": _stream_consensus, "claim_verdict": _claim_verdict, "article_report": _article_report, "verdict_rollup": _verdict_rollup}
+
+
+def _over_fixtures(operator, rows):
+    return lambda spark, sf_dir: operator(rows(spark))
+
+
+def _over_tables(operator, part):
+    return lambda spark, sf_dir: operator(_verified(spark, sf_dir)[part])
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         top_claims, validate_text, validate_url, url_domain, clean_text, viable_claims, atomic_predicates, claim_parts, search_queries, numbers, paragraph_dedup, articles,
-        fetch_status, source_flags, independence, quality, claim_eval_summary, diversity_cap, registry_search, corpus_retrieve, relevance_levels, verified_reports, verified_documents,
-        stream_consensus, claim_verdict, article_report, verdict_rollup,
+        fetch_status, diversity_cap, registry_search, corpus_retrieve, relevance_levels, verified_reports, verified_documents,
     )
 } | {
+    **{name: _over_fixtures(f, _evaluated) for name, f in ON_EVIDENCE.items()},
+    **{name: _over_fixtures(f, _verdicts) for name, f in ON_VERDICTS.items()},
+    **{f"verified_{name}": _over_tables(f, "judged") for name, f in ON_EVIDENCE.items()},
+    **{f"verified_{name}": _over_tables(f, "verdicts") for name, f in ON_VERDICTS.items()},
     "sentences": _sentences,
     "claim_priority": _per_sentence("priority_score", tx.priority),
     "importance": _per_sentence("importance", tx.importance),

@@ -317,3 +317,17 @@ def test_verdict_invariants_on_random_evidence(spark):
             assert v.supporting_evidence_ids and (v.basis == "PRIMARY_SUPPORT" or not v.contradicting_evidence_ids)
     reports = vd.reports(spark.createDataFrame(out)).collect()
     assert all(x.supported_claims + x.contradicted_claims + x.uncertain_claims == x.total_claims for x in reports)
+
+
+def test_operators_on_evidence_and_verdicts_read_the_tables(spark, monkeypatch):
+    """Their queries named verified_ follow the whole plan's rows, here of one claim and one page, and not the fixtures."""
+    from attestor.plans import catalogue
+    from attestor.plans.verify import verify
+
+    claim = "The Reserve Bank of India kept the repo rate unchanged at 6.5% on 8 February 2024."
+    pages = spark.createDataFrame([(1, "Notes", claim, "https://www.thehindu.com/a")], "page_id long, title string, text string, url string")
+    out = verify(spark.createDataFrame([(7, claim)], "doc_id long, text string"), se.corpus_provider(pages), store=False)
+    monkeypatch.setattr(catalogue, "_verified", lambda spark, sf_dir: out)
+    names = [f"verified_{n}" for n in (*catalogue.ON_EVIDENCE, *catalogue.ON_VERDICTS)]
+    for name in names:
+        assert {r.doc_id for r in catalogue.QUERIES[name](spark, "").select("doc_id").collect()} - {None} == {7}, name
