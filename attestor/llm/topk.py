@@ -2,10 +2,19 @@
 
 Vectors become integers floor(256 x) and are laid out so that neighbours share a document range: each
 range (a partition of about RANGE vectors) holds blocks of BLOCK vectors as a forward index, with each
-term's (component's) maximum and minimum in the block. For a query the sum of its terms times those
-maxima bounds every score in the block; blocks are scored in the order of their bounds until the bounds
-fall below the kth score so far. Queries meet the ranges in chunks of at most about CHUNK: no task holds
-more than a chunk and a range.
+term's (component's) maximum and minimum in the block and in the range. For a query the sum of its terms
+times those maxima bounds every score in the block or range.
+
+1. A query searches its own range, which gives a first kth result.
+2. Queries meet the maxima and minima of all ranges (packs of PACK, a small part of the vectors' bytes);
+   pairs of a query and a range whose bound falls below the query's kth end here.
+3. Vectors go only to ranges that some query is left for, once for each CHUNK of such queries, and queries
+   only to the ranges left for them. In a range, blocks are scored in the order of their bounds, AHEAD at
+   a time for each query, until the bounds fall below the kth result so far.
+
+What is shuffled and scored thus grows with the pairs that survive. Where vectors have no structure
+(directions spread evenly) bounds exclude little, and an exact search scores nearly all pairs; a task
+holds one range and CHUNK queries then too, and scores them by matrix products.
 
 Defined cases: vectors null, without id, or with a null or non-finite component take no part; an empty
 vector scores 0 with all; of vectors of different length the shorter is filled up with zeros; integers
@@ -24,7 +33,9 @@ from pyspark.sql import functions as F
 
 from attestor.runtime import materialise, prepare
 
-BLOCK, RANGE, CHUNK = 64, 4096, 1024
+#: Vectors of a block and of a range; queries that a task searches a range for; ranges whose bounds a task holds; queries bounded or searched
+#: at once; blocks scored for a query before its kth result is looked at again.
+BLOCK, RANGE, CHUNK, PACK, BATCH, AHEAD = 64, 4096, 32_768, 4096, 1024, 8
 #: Vectors, picked by their id's hash, whose nearest one orders the table.
 PIVOTS = 64
 _LIMIT = 1 << 62
@@ -57,6 +68,14 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(a.astype(object) @ b.T.astype(object), -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
+_NONE, _LAST = -(1 << 63), (1 << 63) - 1
+
+
+def bounds_of(queries: np.ndarray, top: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The largest score that each query can have with vectors between ``low`` and ``top``."""
+    return _sum(product(np.maximum(queries, 0), top), product(np.minimum(queries, 0), low))
+
+
 class Blocks:
     """A document range: vectors in blocks, with term maxima and minima."""
 
@@ -67,45 +86,57 @@ class Blocks:
         self.low = np.stack([vectors[a:b].min(axis=0) for a, b in self.cuts])
         self.least = np.array([ids[a:b].min() for a, b in self.cuts])
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray, floor_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (scores, ids) of each query, -1 << 63 where there are fewer.
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray, floor_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, id, score): of each query at most ``k`` results, the best, ordered by query, score and id.
 
-        ``floor``, ``floor_id``: a kth result that each query is known to have; blocks below it are left out.
+        ``floor``, ``floor_id``: a kth result that each query is known to have; blocks and results below it are left out.
         """
-        none = -(1 << 63)
         queries, vectors, top, low = _same_width(queries, self.vectors, self.top, self.low)
-        scores = np.full((len(queries), k), none, np.int64)
-        ids = np.full((len(queries), k), (1 << 63) - 1, np.int64)
         floor, floor_id = floor.copy(), floor_id.copy()
-        bounds = _sum(product(np.maximum(queries, 0), top), product(np.minimum(queries, 0), low))
+        best = tuple(np.zeros(0, np.int64) for _ in range(3))
+        bounds = bounds_of(queries, top, low)
         order = np.argsort(-bounds.astype(np.float64), axis=1, kind="stable")
-        active = np.arange(len(queries))
         rest = np.flip(np.maximum.accumulate(np.flip(np.take_along_axis(bounds, order, axis=1), axis=1), axis=1), axis=1)
-        for step in range(len(self.cuts)):
+        active = np.arange(len(queries))
+        for step in range(0, len(self.cuts), AHEAD):
             active = active[rest[active, step] >= floor[active]]  # no later block can reach the kth
             if not len(active):
                 break
-            block = order[active, step]
-            bound = bounds[active, block]
-            open_ = (bound > floor[active]) | ((bound == floor[active]) & (self.least[block] <= floor_id[active]))
-            todo, block = active[open_], block[open_]
+            block = order[active, step : step + AHEAD]
+            todo, block = np.repeat(active, block.shape[1]), block.ravel()
+            bound = bounds[todo, block]
+            open_ = (bound > floor[todo]) | ((bound == floor[todo]) & (self.least[block] <= floor_id[todo]))
+            todo, block = todo[open_], block[open_]
             by = np.argsort(block, kind="stable")
             todo, block = todo[by], block[by]
             starts = np.flatnonzero(np.diff(block, prepend=-1))
+            found = [best]
             for s, e in zip(starts, [*starts[1:], len(block)]):
                 a, b = self.cuts[block[s]]
-                q = todo[s:e]
+                q, own = todo[s:e], self.ids[a:b]
                 got = product(queries[q], vectors[a:b])
-                own = np.broadcast_to(self.ids[a:b], got.shape)
-                dead = own == query_ids[q][:, None]
-                all_scores = np.concatenate([scores[q], np.where(dead, none, got)], axis=1)
-                all_ids = np.concatenate([ids[q], np.where(dead, (1 << 63) - 1, own)], axis=1)
-                best = np.lexsort((all_ids, ~all_scores), axis=1)[:, :k]
-                scores[q], ids[q] = np.take_along_axis(all_scores, best, 1), np.take_along_axis(all_ids, best, 1)
-                kth, kth_id = scores[q, -1], ids[q, -1]
+                # few are left once a query has k results
+                r, c = np.nonzero(got >= floor[q][:, None])
+                fits = ((got[r, c] > floor[q[r]]) | (own[c] <= floor_id[q[r]])) & (own[c] != query_ids[q[r]])
+                r, c = r[fits], c[fits]
+                found.append((q[r], own[c], got[r, c]))
+            best = _best(tuple(np.concatenate(x) for x in zip(*found)), k)
+            if len(best[0]):
+                last = np.flatnonzero(np.diff(best[0], append=-1))
+                full = last[(last >= k - 1) & (best[0][np.maximum(last - k + 1, 0)] == best[0][last])]
+                q, kth_id, kth = (x[full] for x in best)
                 better = (kth > floor[q]) | ((kth == floor[q]) & (kth_id < floor_id[q]))
-                floor[q], floor_id[q] = np.where(better, kth, floor[q]), np.where(better, kth_id, floor_id[q])
-        return scores, ids
+                floor[q[better]], floor_id[q[better]] = kth[better], kth_id[better]
+        return best
+
+
+def _best(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """Of (query, id, score) the ``k`` best of each query, in order."""
+    order = np.lexsort((found[1], ~found[2], found[0]))
+    q = found[0][order]
+    first = np.maximum.accumulate(np.where(np.diff(q, prepend=-1) != 0, np.arange(len(q)), 0))
+    order = order[np.arange(len(q)) - first < k]
+    return tuple(x[order] for x in found)
 
 
 def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,11 +170,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
             yield pd.DataFrame({"key": key, "id": f["id"], "v": vs, "q": f["q"]})
 
     placed = materialise(rows.mapInPandas(place, "key long, id long, v binary, q boolean"), "vectors")
-    n, asked = placed.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    ranges, chunks = max(1, -(-n // RANGE)), max(1, -(-asked // CHUNK))
+    ranges = max(1, -(-placed.count() // RANGE))
 
     def index(frames):
-        """Blocks of a range, one row each, and its queries with what they find in it."""
+        """A range: its blocks and its bounds, its queries with their kth result in it, and those results."""
         part = TaskContext.get().partitionId()
         held = [f for f in frames if len(f)]
         if not held:
@@ -151,41 +181,80 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
         f = pd.concat(held)
         f = f.sort_values(["key", "id"], kind="stable").reset_index(drop=True)
         blocks = Blocks(f["id"].to_numpy(np.int64), matrix(list(f["v"])))
+        shown = lambda v: v.astype("<i8").tobytes()
         for a, b in blocks.cuts:
-            yield pd.DataFrame([(part, -1, f["id"][a], f["id"][a:b].to_numpy("<i8").tobytes(), blocks.vectors[a:b].astype("<i8").tobytes(), 0, 0)], columns=_INDEX)
+            yield _rows("block", part, 0, f["id"][a], shown(f["id"][a:b].to_numpy()), shown(blocks.vectors[a:b]), 0, 0)
+        yield _rows("bounds", part, 0, 0, shown(blocks.top.max(axis=0)), shown(blocks.low.min(axis=0)), 0, 0)
         q = f[f["q"].to_numpy(bool)]
-        if len(q):
-            low, high = np.full(len(q), -(1 << 63)), np.full(len(q), (1 << 63) - 1)
-            for a in range(0, len(q), CHUNK):
-                part_ = slice(a, a + CHUNK)
-                s, i = blocks.search(q["id"].to_numpy(np.int64)[part_], matrix(list(q["v"][part_])), k, low[part_], high[part_])
-                low[part_], high[part_] = s[:, -1], i[:, -1]
-            yield pd.DataFrame({"range": part, "row": (part << 32) + q.index.to_numpy(np.int64), "id": q["id"], "ids": b"", "v": q["v"], "floor": low, "floor_id": high})
-
-    stored = materialise(
-        placed.repartitionByRange(ranges, "key", "id").mapInPandas(index, "range int, row long, id long, ids binary, v binary, floor long, floor_id long"), "blocks"
-    )
-    blocks = stored.where("row = -1").select("range", "ids", "v").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        for a in range(0, len(q), BATCH):
+            some = q[a : a + BATCH]
+            ids, n = some["id"].to_numpy(np.int64), len(some)
+            row, found, score = blocks.search(ids, matrix(list(some["v"])), k, np.full(n, _NONE), np.full(n, _LAST))
+            rows = (part << 32) + some.index.to_numpy(np.int64)
+            low, high = np.full(n, _NONE), np.full(n, _LAST)
+            kth = np.bincount(row, minlength=n).cumsum() - 1
+            full = np.bincount(row, minlength=n) == k
+            low[full], high[full] = score[kth[full]], found[kth[full]]
+            yield _rows("query", part, rows, ids, b"", list(some["v"]), low, high)
+            if len(row):
+                yield _rows("result", part, rows[row], ids[row], b"", b"", score, found)
+
+    stored = materialise(placed.repartitionByRange(ranges, "key", "id").mapInPandas(index, f"kind string, {', '.join(f'{c} {t}' for c, t in _INDEX.items())}"), "blocks")
+    query = ["row", F.col("id").alias("query"), F.col("v").alias("vector"), F.col("n").alias("floor"), F.col("m").alias("floor_id")]
     last = stored.agg(F.max("range")).first()[0] or 0  # asked for or, in a session that raises such numbers, more
-    queries = stored.where("row >= 0").select("row", F.col("id").alias("query"), F.col("v").alias("vector"), "floor", "floor_id", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk"))
-    queries = queries.withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    queries = stored.where("kind = 'query'").select("range", *query, F.pmod(F.xxhash64("row"), F.lit(1 << 30)).alias("h"))
+    chunks = max(1, -(-queries.count() // BATCH))
+    queries = queries.withColumn("chunk", (F.col("h") % chunks).cast("int")).withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(last // PACK))))
+    bounds = stored.where("kind = 'bounds'").select("range", F.col("ids").alias("top"), F.col("v").alias("low"), F.floor(F.col("range") / PACK).cast("int").alias("pack"))
+    bounds = bounds.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+    def prune(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of a query and another range than its own whose bound reaches the query's kth result."""
+        if _none(left, right):
+            return pd.DataFrame({c: [] for c in _PAIRS})
+        asked, top, low = _same_width(matrix(list(right["vector"])), matrix(list(left["top"])), matrix(list(left["low"])))
+        places = left["range"].to_numpy()
+        near = (bounds_of(asked, top, low) >= right["floor"].to_numpy(np.int64)[:, None]) & (places[None, :] != right["range"].to_numpy()[:, None])
+        q, r = np.nonzero(near)
+        out = right.iloc[q].assign(range=places[r])
+        return out[list(_PAIRS)]
+
+    pairs = bounds.groupBy("chunk", "pack").cogroup(queries.groupBy("chunk", "pack")).applyInPandas(prune, ", ".join(f"{c} {t}" for c, t in _PAIRS.items()))
+    pairs = materialise(pairs, "pairs")
+    dealt = pairs.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n_chunks"))
+    blocks = stored.where("kind = 'block'").select("range", "ids", F.col("v").alias("vectors")).join(dealt, "range")
+    blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).drop("n_chunks")
+    left_for = pairs.join(dealt, "range").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("n_chunks")).cast("int")).drop("n_chunks")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left.columns) or not len(right.columns) or not len(left) or not len(right):
+        if _none(left, right):
             return pd.DataFrame({"row": [], "query_id": [], "id": [], "score": []}).astype("int64")
         ids = [np.frombuffer(x, "<i8") for x in left["ids"]]
-        vs = [np.frombuffer(x, "<i8").reshape(len(i), -1) for i, x in zip(ids, left["v"])]
-        found = Blocks(np.concatenate(ids), np.concatenate(_same_width(*vs)))
-        s, i = found.search(right["query"].to_numpy(np.int64), matrix(list(right["vector"])), k, right["floor"].to_numpy(np.int64), right["floor_id"].to_numpy(np.int64))
-        hit = i.ravel() != (1 << 63) - 1
-        again = lambda c: np.repeat(right[c].to_numpy(np.int64), k)[hit]
-        return pd.DataFrame({"row": again("row"), "query_id": again("query"), "id": i.ravel()[hit], "score": s.ravel()[hit]})
-
-    pairs = blocks.groupBy("chunk", "range").cogroup(queries.groupBy("chunk", "range")).applyInPandas(search, "row long, query_id long, id long, score long")
+        vs = [np.frombuffer(x, "<i8").reshape(len(i), -1) for i, x in zip(ids, left["vectors"])]
+        found, out = Blocks(np.concatenate(ids), np.concatenate(_same_width(*vs))), []
+        for a in range(0, len(right), BATCH):
+            some = right.iloc[a : a + BATCH]
+            rows, asked = some["row"].to_numpy(np.int64), some["query"].to_numpy(np.int64)
+            q, i, s = found.search(asked, matrix(list(some["vector"])), k, some["floor"].to_numpy(np.int64), some["floor_id"].to_numpy(np.int64))
+            out.append(pd.DataFrame({"row": rows[q], "query_id": asked[q], "id": i, "score": s}))
+        return pd.concat(out)
+
+    results = blocks.groupBy("range", "chunk").cogroup(left_for.groupBy("range", "chunk")).applyInPandas(search, "row long, query_id long, id long, score long")
+    own = stored.where("kind = 'result'").select("row", F.col("id").alias("query_id"), F.col("m").alias("id"), F.col("n").alias("score"))
     order = Window.partitionBy("row").orderBy(F.desc("score"), "id")
-    best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = own.unionByName(results).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-_INDEX = ["range", "row", "id", "ids", "v", "floor", "floor_id"]
+#: Columns of an indexed row (n, m: a score and an id), and of a query that is left for a range.
+_INDEX = {"range": "int", "row": "long", "id": "long", "ids": "binary", "v": "binary", "n": "long", "m": "long"}
+_PAIRS = {"range": "int", "row": "long", "query": "long", "vector": "binary", "floor": "long", "floor_id": "long"}
+
+
+def _rows(kind: str, *values) -> pd.DataFrame:
+    size = max((len(v) for v in values if isinstance(v, (list, np.ndarray))), default=1)
+    return pd.DataFrame({"kind": [kind] * size, **{c: v if isinstance(v, (list, np.ndarray)) else [v] * size for c, v in zip(_INDEX, values)}})
+
 
+def _none(*frames: pd.DataFrame) -> bool:
+    return any(not len(f.columns) or not len(f) for f in frames)
