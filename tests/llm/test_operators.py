@@ -270,12 +270,54 @@ PAGES = [
 
 
 def test_extract_html(spark):
-    df = spark.createDataFrame([(i, "u", h, 1) for i, h, _ in PAGES], "page_id long, url string, html string, text int")
-    got = {r.page_id: r.text for r in extract_html.extract(df).collect()}
-    assert got == {i: t for i, _, t in PAGES}
+    df = spark.createDataFrame([(i, "u", h, 1) for i, h, _ in [*PAGES, *PAGES]], "page_id long, url string, html string, text int")
+    got = extract_html.extract(df).collect()
+    assert len(got) == 2 * len(PAGES) and {(r.page_id, r.text) for r in got} == {(i, t) for i, _, t in PAGES}
     assert extract_html.extract(df.limit(0)).count() == 0
 
 
+BODY = "<p>" + "alpha beta gamma delta. " * 8 + "</p><p>Second one, short.</p>"
+BODY_TEXT = ("alpha beta gamma delta. " * 8).strip() + "\nSecond one, short."
+LINKS = "<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li><li><a href=c>Three</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # names that hold words of furniture
+        (f'<div class="content-sidebar-wrap"><article>{BODY}</article></div>', BODY_TEXT),
+        (f'<article class="post category-ads hentry comments-open">{BODY}</article>', BODY_TEXT),
+        (f'<div class="site has-cookie-banner"><main>{BODY}</main></div>', BODY_TEXT),
+        (f'<article>{BODY}<p class="social-policy">Policy.</p><h2 id="related-work">Related work</h2><p id="search">Searching.</p></article>', BODY_TEXT + "\nPolicy.\nRelated work\nSearching."),
+        # furniture around the only article, and articles in furniture beside another
+        (f'<div class="sidebar"><article>{BODY}</article></div>', BODY_TEXT),
+        (f"<form>{BODY}<input></form><form>Mail <input></form>", BODY_TEXT),
+        (f'<article>{BODY}<div class="comment-list"><article><p>Nice post!</p></article></div></article>', BODY_TEXT),
+        (f"<article>{BODY}<div class='related'>Read this</div><div class='notice'>{BODY}{BODY}</div></article>", f"{BODY_TEXT}\n{BODY_TEXT}\n{BODY_TEXT}"),
+        # links: a run of them in an article is a dive, fewer are not
+        (f"<article>{BODY}{LINKS}<p>End</p></article>", BODY_TEXT + "\nEnd"),
+        (f"<article><h1><a href=x>Title</a></h1>{BODY}<p><a href=y>More</a></p></article>", f"Title\n{BODY_TEXT}\nMore"),
+        # pages without an article
+        (f"<body>{LINKS}<div><div><div>{BODY}</div></div></div><div><div><div><p>(c) us</p></div></div></div></body>", BODY_TEXT),
+        (f"<div><p>Intro.</p><div class=ad>Buy this</div>{LINKS}{BODY}</div><div><div><div><div>tiny</div></div></div></div>", f"Intro.\n{BODY_TEXT}"),
+        (f'<div id="cookieNotice">We use cookies</div>{BODY}<div class="site-footer">Us</div>', BODY_TEXT),
+        # elements within a line
+        ("<article><p>one <span hidden>no</span>two <button>Press</button>three</article>", "one two three"),
+        ("<head><title>T</title><p>no end tag of the head", "no end tag of the head"),
+    ],
+)
+def test_extract_html_by_names_and_windows(page, text):
+    assert extract_html.main_text(page) == text
+
+
+def test_windows_decide(monkeypatch):
+    """Without windows (each page one stretch) links of an article and lines far from the text of a page would stay."""
+    pages = [f"<article>{BODY}{LINKS}<p>End</p></article>", f"<body>{LINKS}<div><div><div>{BODY}</div></div></div><div><div><div><p>(c) us</p></div></div></div></body>"]
+    right = [extract_html.main_text(p) for p in pages]
+    monkeypatch.setattr(extract_html, "stretches", lambda lengths, window=3: [(0, len(lengths))])
+    assert all(a != extract_html.main_text(p) for a, p in zip(right, pages))
+
+
 def test_surge_and_dive():
     assert extract_html.stretches([0, 0, 0, 5, 9, 0, 3, 0, 0, 0, 0, 4]) == [(1, 7), (9, 12)]
     assert extract_html.stretches([]) == []
