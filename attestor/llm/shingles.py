@@ -7,8 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Words of a shingle; bytes hashed at once.
-WORDS, SLICE = 5, 1 << 20
+#: Words of a shingle; bytes hashed at once; sets whose intersections are counted at once.
+WORDS, SLICE, TILE = 5, 1 << 20, 512
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _r = np.random.default_rng(20240601)

@@ -240,6 +240,31 @@ def test_near_copies_through_members_that_are_not_the_leader(spark):
     assert linked and {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("nodes", [1024, 100])
+def test_blocks_of_a_large_bucket(spark, monkeypatch, nodes):
+    """Many short nodes in one bucket, dealt in blocks: all links between components, and none inside one."""
+    monkeypatch.setattr(near_dedup, "NODES", nodes)
+    r = np.random.default_rng(3)
+    found = [np.unique(r.integers(0, 1 << 62, 20, dtype=np.uint64)) for _ in range(2500)]
+    linked = {(k, k + 1) for k in range(100, 2400, 7)}
+    for a, b in linked:
+        found[b] = np.unique(np.append(found[a][:-2], np.uint64(b)))
+    members = spark.createDataFrame([(1, k, 0, len(s)) for k, s in enumerate(found)], "band long, uid long, leader long, n long")
+    labels = spark.createDataFrame([(k, 0) for k in range(0, 2500, 2)], "uid long, label long")  # the leader's component
+    sets = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(found)], "uid long, set binary")
+    got = {tuple(sorted(e)) for e in near_dedup._blocks(members, labels, sets, 75).collect()}
+    assert got == linked
+
+
+def test_even_join(spark):
+    rows = spark.createDataFrame([(0 if k % 3 else k, k) for k in range(5000)] + [(None, -k) for k in range(900)], "key long, v long")
+    table = spark.createDataFrame([(k, f"t{k}") for k in range(0, 5000, 2)], "key long, w string")
+    for how in ("inner", "left"):
+        got = near_dedup.even_join(rows, table, "key", how)
+        assert got.columns == ["key", "v", "w"]
+        assert order(map(tuple, got.collect())) == order(map(tuple, rows.join(table, "key", how).collect()))
+
+
 def test_shingle_sets_and_sketches():
     texts = [(t or "").encode() for _, t in ROWS] + [b"a " * 700_000 + b"end of it all here now"]
     for text, found in zip(texts, shingles.sets(texts)):

@@ -1,6 +1,7 @@
 """The operators' queries on the smallest tables: against SQL where there is some, else for their contract."""
 
 import os
+import re
 from pathlib import Path
 
 import pytest
@@ -47,3 +48,31 @@ def test_columns_and_rows(spark, name):
     assert ids == {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     if name != "op10_packing":
         assert got.count() == len(ids)
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Links of all pairs of documents of sf0.01, by their full sets: recall and precision are 1."""
+    sf = SF.replace("0.001", "0.01")
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in queries.op4_minhash_near_dedup(spark, sf).collect()}
+    fold = {c: c + 32 for c in range(65, 91)}
+    sets = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        words = re.findall("[^\x20\x09-\x0d]+", (r.text or "").translate(fold))
+        sets[r.doc_id] = frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i]))
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if 100 * len(sets[a]) < 75 * len(sets[b]):
+                break
+            common = len(sets[a] & sets[b])
+            if 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert got == {i: (find(i), len(sets[i])) for i in sets}
