@@ -5,12 +5,14 @@ responses are max-pooled over chunks of two SEGMENTs, each chunk overlapping the
 hidden layer over a chunk is max-pooled over all chunks of the document and combined into one
 probability. Chunks cover the whole text, whatever its length.
 
-The network is fitted on the driver on at most SAMPLE labelled rows, of each at most TRAIN_CHARS
-characters from a place given by the id's hash; a fixed number of steps makes its cost the same at
-every size. Scoring is a map without a shuffle.
+The network is fitted on the driver on whole texts: at most SAMPLE labelled rows, as many as BYTES of text
+hold, taken in the order of a hash of their ids. A fixed number of steps bounds its cost at every size. A
+gradient goes through the chunks that give the maxima, wherever in a text they are. Scoring is a map without
+a shuffle.
 
 Defined cases: a null text counts as empty; an empty text is scored as one chunk of padding; null
-labels and rows without id are not learned from; of repeated labels the largest counts; with no or
+labels, rows without id and labels of ids that the table lacks are not learned from; of repeated labels the
+largest counts, of rows that repeat an id one is learned from; a text longer than BYTES is not learned from; with no or
 one class among the labels every score is that class's share (0.5 without labels); repeated rows are
 scored alike; extra columns pass through, but for ones
 named like the results, which are replaced.
@@ -22,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.runtime import crc_bucket, prepare
+from attestor.runtime import crc_bucket, materialise, prepare
 
 WIDTH, FILTERS, HIDDEN, SEGMENT = 6, 16, 16, 128
-#: Bounds of the training sample: rows, and characters of a row.
-SAMPLE, TRAIN_CHARS = 4000, 8192
+#: Bounds of the training sample: rows, and bytes of their texts.
+SAMPLE, BYTES = 4000, 16 << 20
 STEPS, BATCH, RATE, SEED = 600, 48, 0.02, 7
 #: Bytes scored at once.
 SLICE = 1 << 19
@@ -50,13 +52,18 @@ class Network:
     def weights(self) -> list[np.ndarray]:
         return [self.table, self.hidden, self.hidden_bias, self.out, self.shift]
 
-    def responses(self, at: np.ndarray) -> np.ndarray:
-        """Filter responses at every position of whole segments; ``at`` has WIDTH - 1 more bytes."""
+    def responses(self, at: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Filter responses by segment and position; ``at`` has WIDTH - 1 more bytes.
+
+        A document's ``last`` segment ends in padding; there the places that reach into the next document do not count.
+        """
         n = len(at) - WIDTH + 1
         total = np.take(self.table[0], at[:n], axis=0, mode="clip")
         part = np.empty_like(total)
         for j in range(1, WIDTH):
             total += np.take(self.table[j], at[j : j + n], axis=0, out=part, mode="clip")
+        total = total.reshape(-1, SEGMENT, FILTERS)
+        total[last, 1 - WIDTH :] = -np.inf
         return total
 
     def chunks(self, segments: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -75,12 +82,11 @@ class Network:
             at = data.astype(np.intp)
             n = (len(data) - WIDTH + 1) // SEGMENT
             segments = np.empty((n, FILTERS), np.float32)
-            for a in range(0, n, 64):
-                b = min(n, a + 64)
-                r = self.responses(at[a * SEGMENT : b * SEGMENT + WIDTH - 1])
-                segments[a:b] = r.reshape(b - a, SEGMENT, FILTERS).max(axis=1)
             last = np.zeros(n, bool)
             last[ends - 1] = True
+            for a in range(0, n, 64):
+                b = min(n, a + 64)
+                segments[a:b] = self.responses(at[a * SEGMENT : b * SEGMENT + WIDTH - 1], last[a:b]).max(axis=1)
             h = np.maximum(np.tanh(self.chunks(segments, last)) @ self.hidden + self.hidden_bias, 0)
             starts = np.concatenate([[0], ends[:-1]])
             for a, b in zip(starts + used, ends):
@@ -156,60 +162,63 @@ def calibrated(x: np.ndarray, labels: np.ndarray, rounds: int = 60) -> tuple[flo
 
 
 def _gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
-    grads = [np.zeros_like(w) for w in net.weights()]
-    for owners, data, ends, _ in laid_out(texts):  # a short text is in one part
-        at = data.astype(np.intp)
+    """Gradients of the mean log loss, through the chunk that gives each maximum of a text."""
+    size = (len(texts), HIDDEN, FILTERS)
+    best, inputs, seen = np.full(size[:2], -np.inf, np.float32), np.zeros(size, np.float32), np.zeros((*size, WIDTH), np.uint8)
+    for owners, data, ends, used in laid_out(texts):
         n = (len(data) - WIDTH + 1) // SEGMENT
-        r = net.responses(at[: n * SEGMENT + WIDTH - 1]).reshape(n, SEGMENT, FILTERS)
+        last = np.zeros(n, bool)
+        last[ends - 1] = True
+        r = net.responses(data[: n * SEGMENT + WIDTH - 1].astype(np.intp), last)
         where = r.argmax(axis=1)
         segments = np.take_along_axis(r, where[:, None, :], axis=1)[:, 0]
         where += np.arange(n)[:, None] * SEGMENT
-        last = np.zeros(n, bool)
-        last[ends - 1] = True
         follows = np.concatenate([segments[1:], segments[-1:]])
         second = (follows > segments) & ~last[:, None]
         pooled = np.tanh(np.where(second, follows, segments))
         source = np.where(second, np.concatenate([where[1:], where[-1:]]), where)
-        z = pooled @ net.hidden + net.hidden_bias
-        h = np.maximum(z, 0)
+        h = np.maximum(pooled @ net.hidden + net.hidden_bias, 0)
         starts = np.concatenate([[0], ends[:-1]])
-        top = np.stack([h[a:b].argmax(axis=0) + a for a, b in zip(starts, ends)])
-        d = np.take_along_axis(h, top, axis=0)
-        p = 1 / (1 + np.exp(-(d @ net.out + net.shift[0])))
-        error = (p - labels[owners]).astype(np.float32) / len(texts)
-        grads[3] += error @ d
-        grads[4] += error.sum()
-        dz = np.zeros_like(z)
-        np.add.at(dz, (top, np.arange(HIDDEN)[None, :]), error[:, None] * net.out[None, :])
-        dz *= z > 0
-        grads[1] += pooled.T @ dz
-        grads[2] += dz.sum(axis=0)
-        used = np.flatnonzero(dz.any(axis=1))
-        back = ((dz[used] @ net.hidden.T) * (1 - pooled[used] ** 2)).ravel()
-        place = source[used].ravel()
-        column = np.tile(np.arange(FILTERS), len(used))
-        for j in range(WIDTH):
-            np.add.at(grads[0][j], (at[place + j], column), back)
-    for w, g in zip(net.weights()[:2], grads):
-        g += 1e-5 * w
-    return grads
-
-
-def sample(docs: DataFrame, labels: DataFrame, learned, label: str, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents (_id, _label, _text) for which ``learned`` holds, picked by the id's hash."""
+        for i, a, b in zip(owners, starts, starts + used):
+            top = h[a:b].argmax(axis=0) + a
+            better = h[top, np.arange(HIDDEN)] > best[i]
+            top = top[better]
+            best[i][better] = h[top, np.flatnonzero(better)]
+            inputs[i][better] = pooled[top]
+            seen[i][better] = data[source[top][:, :, None] + np.arange(WIDTH)]
+    p = 1 / (1 + np.exp(-(best @ net.out + net.shift[0])))
+    error = (p - labels).astype(np.float32) / len(texts)
+    down = error[:, None] * net.out * (best > 0)
+    back = (down[:, :, None] * net.hidden.T * (1 - inputs**2)).ravel()
+    table = np.zeros_like(net.table)
+    column = np.tile(np.arange(FILTERS), size[0] * HIDDEN)
+    for j in range(WIDTH):
+        np.add.at(table[j], (seen[:, :, :, j].ravel(), column), back)
+    hidden = np.einsum("thf,th->fh", inputs, down)
+    return [table + 1e-5 * net.table, hidden + 1e-5 * net.hidden, down.sum(axis=0), error @ best, np.array([error.sum()], np.float32)]
+
+
+def sample(docs: DataFrame, labels: DataFrame, learned, label: str, id_col: str, text_col: str, rows: int, most: int | None = None) -> DataFrame:
+    """At most ``rows`` labelled documents (_id, _label, _text) for which ``learned`` holds, with texts of at most ``most`` bytes in all.
+
+    They are those with the least hash of their ids among the labelled ids that ``docs`` has, one row for each.
+    """
     known = labels.where(learned & F.col(id_col).isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return texts.join(F.broadcast(known), "_id")
+    known = known.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(known), "_id")
+    found = materialise(texts.groupBy("_id").agg(F.first("_label").alias("_label"), F.min_by("_text", F.xxhash64("_text")).alias("_text")), "sample")
+    if most is None:
+        return found
+    # a window over at most ``rows`` short rows
+    sizes = found.select("_id", F.octet_length("_text").alias("_size")).withColumn("_sum", F.sum("_size").over(Window.orderBy(F.xxhash64("_id"), "_id")))
+    return found.join(F.broadcast(sizes.where(F.col("_sum") <= most).select("_id")), "_id", "left_semi")
 
 
-def train(docs: DataFrame, labels: DataFrame, learned, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE) -> Network:
+def train(docs: DataFrame, labels: DataFrame, learned, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE, most: int = BYTES) -> Network:
     """A network fitted on a bounded sample of the labelled rows for which ``learned`` holds."""
-    found = sample(docs, labels, learned, label, id_col, text_col, rows)
-    start = F.pmod(F.xxhash64("_id"), F.greatest(F.lit(1), F.length("_text") - TRAIN_CHARS + 1)).cast("int") + 1
-    got = found.select("_id", "_label", F.substring(F.col("_text"), start, F.lit(TRAIN_CHARS)).alias("_text")).toPandas()
-    got = got.sort_values(["_id", "_text"]).reset_index(drop=True)
+    prepare(docs.sparkSession)
+    got = sample(docs, labels, learned, label, id_col, text_col, rows, most).toPandas().sort_values("_id").reset_index(drop=True)
     return fit([t.encode("utf-8", "surrogatepass") for t in got["_text"]], (got["_label"].to_numpy() > 0).astype(np.float32))
 
 

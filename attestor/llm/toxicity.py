@@ -7,12 +7,12 @@ its maximal-scoring segments (Ruzzo and Tompa); a segment is a significant passa
 beyond what chance gives in so many tokens (an extreme-value law fitted on clean texts). The sum of the
 excesses is turned into a probability by a logistic curve fitted on the same labels.
 
-Fitting takes at most SAMPLE labelled rows; the word lists are bounded by LEXICON. Scoring is a map
-without a shuffle over whole texts.
+Fitting takes at most SAMPLE labelled rows, whole texts and all of their segments; of the significant words
+the LEXICON with the largest z-scores are kept. Scoring is a map without a shuffle over whole texts.
 
 Defined cases: a null or empty text has no segments and the lowest score; null labels and rows without
-id are not learned from; of repeated labels the largest counts; with no or one class among the labels
-every score is that class's share (0 without labels); repeated rows are scored alike; extra columns
+id are not learned from; of repeated labels the largest counts, of rows that repeat an id one is learned
+from; with no or one class among the labels every score is that class's share (0 without labels); repeated rows are scored alike; extra columns
 pass through, but for ones named like the results, which are replaced.
 """
 
@@ -127,14 +127,13 @@ def _sparse(scores: list[float], drift: float) -> list[tuple[int, int, float]]:
     return [(at[a], at[b], s) for a, b, s in segments(flat)]
 
 
-def log_odds(table: pd.DataFrame) -> pd.DataFrame:
-    """Columns toxic and clean (counts) to delta and z (Monroe, Colaresi and Quinn), with a prior from both."""
-    t, c = table["toxic"].to_numpy(float), table["clean"].to_numpy(float)
-    nt, nc = max(1.0, table["toxic_all"].max()), max(1.0, table["clean_all"].max())
-    prior = FLAT + PRIOR * (t + c) / (nt + nc)
-    odds = lambda y, n: np.log((y + prior) / (n + PRIOR - y - prior))
-    delta = odds(t, nt) - odds(c, nc)
-    return table.assign(delta=delta, z=delta / np.sqrt(1 / (t + prior) + 1 / (c + prior)))
+def log_odds(toxic, clean, all_toxic: int, all_clean: int) -> tuple:
+    """The log-odds of a token between its counts, and its z-score (Monroe, Colaresi and Quinn), with a prior from both; Columns."""
+    nt, nc = max(1.0, all_toxic), max(1.0, all_clean)
+    prior = F.lit(FLAT) + (toxic + clean) * (PRIOR / (nt + nc))
+    odds = lambda y, n: F.log((y + prior) / (F.lit(n + PRIOR) - y - prior))
+    delta = odds(toxic, nt) - odds(clean, nc)
+    return delta, delta / F.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
 
 
 def fit(found: DataFrame) -> Model:
@@ -162,12 +161,9 @@ def fit(found: DataFrame) -> Model:
     sums = {k: int(totals[k].sum()) for k in ("clean", "toxic")}
 
     def listed(kind: bytes) -> dict[bytes, float]:
-        table = counts.where((F.col("kind") == kind) & (F.col("toxic") >= 2))
-        # an over-represented token: the ratio of its shares orders it well enough to bound what comes to the driver
-        lean = F.col("toxic") / max(1, sums["toxic"]) / ((F.col("clean") + F.lit(1.0)) / max(1, sums["clean"]))
-        table = table.orderBy((lean * F.sqrt("toxic")).desc(), "token").limit(LEXICON).toPandas()
-        table = log_odds(table.assign(toxic_all=sums["toxic"], clean_all=sums["clean"]))
-        table = table[(table["z"] >= SIGNIFICANT) & (table["delta"] > 2 * DRIFT)]
+        delta, z = log_odds(F.col("toxic"), F.col("clean"), sums["toxic"], sums["clean"])
+        table = counts.where((F.col("kind") == kind) & (F.col("toxic") >= 2)).select("token", delta.alias("delta"), z.alias("z"))
+        table = table.where((F.col("z") >= SIGNIFICANT) & (F.col("delta") > 2 * DRIFT)).orderBy(F.desc("z"), "token").limit(LEXICON).toPandas()
         return {bytes(t): float(d) for t, d in zip(table["token"], table["delta"])}
 
     scores = Scores(listed(b"w"), listed(b"s"))
@@ -178,27 +174,27 @@ def fit(found: DataFrame) -> Model:
             rows = []
             for label, text in zip(frame["_label"], frame["_text"]):
                 s = list(map(shared.value.__getitem__, tokens(text)))
-                best = sorted((x[2] for x in _sparse(s, DRIFT)), reverse=True) if s and max(s) > 0 else []
-                rows.append((int(label > 0), len(s), best[:64]))
-            yield pd.DataFrame(rows, columns=["label", "n", "best"])
+                found = [x[2] for x in _sparse(s, DRIFT)] if s and max(s) > 0 else []
+                rows.append((int(label > 0), len(s), len(found), float(sum(found))))
+            yield pd.DataFrame(rows, columns=["label", "n", "segments", "total"])
 
-    seen = found.mapInPandas(measure, "label int, n long, best array<double>").toPandas()
+    seen = found.mapInPandas(measure, "label int, n long, segments long, total double").toPandas()
     share = float(seen["label"].mean()) if len(seen) else 0.0
     if share in (0.0, 1.0):
         return Model(scores, constant=share)
     clean = seen[seen["label"] == 0]
-    top = np.array([b[0] if len(b) else 0.0 for b in clean["best"]])
-    n = np.maximum(1, clean["n"].to_numpy(float))
-    # chance of a segment beyond s among n tokens: K n exp(-rate s); from the clean segments' excesses, smoothed by one of each
-    every = np.concatenate([*[np.asarray(b, float) for b in clean["best"]], [0.5]])
-    rate = float(np.clip(1 / every.mean(), 0.2, 3.0))
-    scale = float((np.count_nonzero(top > 0) + 1) / n.sum())
+    # chance of a segment beyond s among n tokens: K n exp(-rate s); from all segments of clean texts, smoothed by one of each
+    rate = float(np.clip((clean["segments"].sum() + 1) / (clean["total"].sum() + 0.5), 0.2, 3.0))
+    scale = float((np.count_nonzero(clean["segments"]) + 1) / np.maximum(1, clean["n"]).sum())
     model = Model(scores, rate, scale)
-    excess = []
-    for size, best in zip(seen["n"], seen["best"]):
-        chance = np.log(scale * max(1, size) / EXPECTED) / rate
-        excess.append(rate * sum(s - chance for s in best if s > chance))
-    model.slope, model.shift = calibrated(np.log1p(np.array(excess)), seen["label"].to_numpy(float))
+    given = found.sparkSession.sparkContext.broadcast(model)
+
+    def exceed(frames):
+        for frame in frames:
+            yield pd.DataFrame({"label": (frame["_label"] > 0).astype("int32"), "excess": [float(given.value.passages(t)[1]) for t in frame["_text"]]})
+
+    judged = found.mapInPandas(exceed, "label int, excess double").toPandas().sort_values(["excess", "label"])
+    model.slope, model.shift = calibrated(np.log1p(judged["excess"].to_numpy(float)), judged["label"].to_numpy(float))
     return model
 
 

@@ -165,6 +165,61 @@ def test_quality_scores_whole_texts_in_any_slices():
         quality.SLICE = quality_slice
 
 
+def plain_score(net, text):
+    """The network written out: filters at every place, maxima over overlapping chunks of two segments, maxima over chunks."""
+    size = -(-(len(text) + quality.WIDTH - 1) // quality.SEGMENT) * quality.SEGMENT
+    data = text.ljust(size, b"\0")
+    filters = [[sum(float(net.table[j][data[i + j]][f]) for j in range(quality.WIDTH)) for f in range(quality.FILTERS)] for i in range(size - quality.WIDTH + 1)]
+    best = [-np.inf] * quality.HIDDEN
+    for a in range(0, size, quality.SEGMENT):
+        chunk = [max(r[f] for r in filters[a : a + 2 * quality.SEGMENT]) for f in range(quality.FILTERS)]
+        for k in range(quality.HIDDEN):
+            z = sum(np.tanh(x) * float(net.hidden[f][k]) for f, x in enumerate(chunk)) + float(net.hidden_bias[k])
+            best[k] = max(best[k], z, 0)
+    return 1 / (1 + np.exp(-(sum(b * float(w) for b, w in zip(best, net.out)) + float(net.shift[0]))))
+
+
+def test_quality_network_against_plain_loops():
+    net = quality.Network(3)
+    texts = [b"", b"x", prose(60).encode(), bytes(range(256)) * 2, b"ab" * 64, b"y" * 123]
+    assert net.scores(texts) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-5)
+
+
+def test_quality_gradients(monkeypatch):
+    """Against differences, with texts in one part and in many."""
+    texts, labels = [prose(200).encode(), b"short", prose(90).encode()], np.array([1, 0, 1], np.float32)
+
+    def loss(net):
+        p = net.scores(texts)
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    for size in (quality.SLICE, 512):
+        monkeypatch.setattr(quality, "SLICE", size)
+        net = quality.Network(4)
+        found = quality._gradients(net, texts, labels)
+        for w, g in zip(net.weights()[1:], found[1:]):
+            for at in [np.unravel_index(k, w.shape) for k in range(0, w.size, max(1, w.size // 5))]:
+                old = w[at]
+                w[at] = old + 1e-2
+                up = loss(net)
+                w[at] = old - 1e-2
+                down = loss(net)
+                w[at] = old
+                assert (up - down) / 2e-2 == pytest.approx(g[at], abs=2e-3)
+
+
+def test_samples_are_bounded(spark):
+    """An id repeated many times, labels of ids that are not there, and a bound on bytes."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, "x" * 100) for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 400)], "doc_id long, quality int, toxic int")
+    found = quality.sample(docs, labels, F.lit(True), "quality", "doc_id", "text", 30).collect()
+    assert len(found) == len({r["_id"] for r in found}) == 30 and all(r["_id"] < 60 for r in found)
+    few = quality.sample(docs, labels, F.lit(True), "quality", "doc_id", "text", 30, 1000).collect()
+    assert 0 < len(few) <= 12 and all(len(r["_text"]) == 100 or r["_id"] == 1 for r in few)
+    assert quality.sample(docs, labels, F.lit(True), "quality", "doc_id", "text", 30, 0).count() == 0
+    assert quality.classify(docs, labels).count() == 558 == toxicity.classify(docs, labels).count()
+
+
 def test_toxicity(spark):
     docs, labels, n = labelled(spark)
     got = toxicity.classify(docs.withColumn("passages", F.lit(1)), labels).collect()
