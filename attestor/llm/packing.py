@@ -16,6 +16,7 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,17 +55,25 @@ def _ranks(file: dict) -> dict[bytes, int] | None:
 
 
 class Encoder:
-    """Ids of whole units as little-endian unsigned 32-bit bytes, by a tokenizers file.
+    """Ids of texts as little-endian unsigned 32-bit bytes, as the tokenizers library gives them for its file.
 
     Where the file is a plain byte-level BPE whose merges stand in the order of their ids, those ids are
-    the ranks of the tiktoken library, which gives the same ids in a quarter of the time.
+    the ranks of the tiktoken library, which gives the same ids in a quarter of the time; texts are cut at
+    the file's added tokens first, which are ids of their own. Any other file is left to the library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         gc.set_threshold(1_000_000)  # many small objects, no cycles
         with open(path, encoding="utf-8") as f:
-            self.ranks = _ranks(json.load(f))
+            file = json.load(f)
+        added = file.get("added_tokens") or []
+        simple = not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added)
+        self.ranks = _ranks(file) if simple else None
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        # the first that starts, of these the longest
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.cache = UnitCache(self.units, REMEMBERED)
         if self.ranks is not None:
             import tiktoken
 
@@ -75,9 +84,17 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
-            names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-            self.starts = np.array([n.startswith("Ġ") for n in names])
+
+    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids."""
+        if self.ranks is None:
+            for text in texts:
+                yield np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+            return
+        cut = [self.marks.split(t) if self.marks else [t] for t in texts]  # every other part is an added token
+        ids = _by_units([p for parts in cut for p in parts[::2]], self.cache)
+        for parts in cut:
+            yield b"".join([self.added[p] if k % 2 else next(ids) for k, p in enumerate(parts)])
 
     def units(self, units: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(units)
@@ -99,9 +116,7 @@ class Encoder:
         return out
 
     def _ids(self, text: str) -> np.ndarray:
-        if self.ranks is not None:
-            return self.tokenizer.encode_to_numpy(text).astype("<u4")
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return self.tokenizer.encode_to_numpy(text).astype("<u4")
 
     def _joined(self, units: list[str], run: list[int], out: list[bytes]) -> None:
         """Each unit starts with the only one of its ids that holds a space, so the ids of many can be told apart."""
@@ -116,17 +131,16 @@ class Encoder:
             out[i] = flat[4 * a : 4 * b]
 
 
-_loaded: dict[str, UnitCache] = {}
+_loaded: dict[str, Encoder] = {}
 
 
-def _cache(path: str) -> UnitCache:
+def _encoder(path: str) -> Encoder:
     if path not in _loaded:
-        _loaded[path] = UnitCache(Encoder(path).units, REMEMBERED)
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
-def encoded(texts: list[str], cache: UnitCache) -> Iterator[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit bytes."""
+def _by_units(texts: list[str], cache: UnitCache) -> Iterator[bytes]:
     done, ids = 0, []
     for group in slices(texts):
         for (i, _), units in zip(group, cache.values([part for _, part in group])):
@@ -196,16 +210,16 @@ def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        cache, windows, sequence, id_type = _cache(vocab), Windows(window, most_open), part << 32, None
+        encoder, windows, sequence, id_type = _encoder(vocab), Windows(window, most_open), part << 32, None
         for batch in batches:
             id_type, done = batch.schema.field(0).type, []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), cache)):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encoded(batch.column(1).to_pylist())):
                 ids += end
                 for full in windows.add((doc, 0, ids, len(ids) // 4)):
                     done.extend(_rows(full, sequence))
                     sequence += 1
             yield _batch(done, id_type, {"_group": -1})
-        cache.clear()  # a worker goes on to other work
+        encoder.cache.clear()  # a worker goes on to other work
         if windows.open:
             left = [row for _, pieces in windows.open for row in _rows(pieces, -1)]
             yield _batch(left, id_type, {"_group": part // GROUP})

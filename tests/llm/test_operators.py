@@ -525,7 +525,6 @@ def test_packing(docs, nothing):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = [(i, tokenizer.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in ROWS]
     rows = packing.pack(docs, path).collect()
     assert check_packing(rows, want) == 0
@@ -540,6 +539,19 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizers_library():
+    """The library's own call, added tokens in texts included, for a file of plain ranks and for any other."""
+    from tokenizers import Tokenizer
+
+    mark = "<|endoftext|>"
+    odd = [f"{mark} a", f"a{mark}", f" {mark}{mark} x {mark}", f"x  {mark}  y\n{mark}\n", "<|endoftext|", f"<{mark}>", "", "don't  we'll \x1c a", "    code(x)[0] += 1;;;", "½ ٣ x² ⅷ\xa0 日本"]
+    odd += ["".join(R.choice(["a", "b ", " ", "'s", ".", "\n", "1", "é", mark]) for _ in range(60)) for _ in range(200)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        got = [np.frombuffer(b, "<u4").tolist() for b in packing.Encoder(public_tokenizers.path(name)).encoded(odd)]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 def test_windows_are_bounded():
     windows, done = packing.Windows(16, 3), []
     for k in range(500):
