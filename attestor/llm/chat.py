@@ -9,7 +9,11 @@ those that stand there already; taking one away again gives the text back exactl
 Defined cases: a null text or role counts as empty; rows of a conversation go by turn, ties by role and
 text, a null turn first; rows without conv_id form one conversation; only the role "assistant" is
 learned; repeated rows are turns like any other; an empty table has no conversations; extra columns are
-ignored. Conversations are streamed, so one of any length needs bounded memory.
+ignored.
+
+Encoding, and reading back, are maps over turns, so the turns of one long conversation (or of all rows without
+conv_id) are spread over all tasks. What follows in the order of a conversation is a sum or a hash over its
+turns, in one streamed pass with bounded memory.
 """
 
 from __future__ import annotations
@@ -53,26 +57,32 @@ class Template:
         self.encoding = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.first = max(ranks.values()) + 1
         self.start, self.sep, self.end = range(self.first, self.first + len(MARKS))
+        self.after = np.array([self.end], np.int32)
+        self.roles: dict[str, np.ndarray] = {}  # heads by role
 
-    def turn(self, role: str, text: str) -> tuple[list[int], list[int]]:
+    def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a turn and their loss mask."""
-        head = [self.start, *self.encoding.encode_ordinary(escape(role)), self.sep]
-        body = self.encoding.encode_ordinary(escape(text))
-        ids = [*head, *body, self.end]
-        change = np.zeros(len(ids) + 1, np.int64)
+        if role not in self.roles:
+            if len(self.roles) > 1000:
+                self.roles.clear()
+            self.roles[role] = np.array([self.start, *self.encoding.encode_ordinary(escape(role)), self.sep], np.int32)
+        head, body = self.roles[role], self.encoding.encode_to_numpy(escape(text)).astype(np.int32)
+        ids = np.concatenate([head, body, self.after])
+        change = np.zeros(len(ids) + 1, np.int8)
         if role == LEARNED:
             change[len(head)] += 1
             change[len(head) + len(body)] -= 1
-        return ids, np.cumsum(change)[:-1].tolist()
+        return ids, np.cumsum(change, dtype=np.int8)[:-1]
 
-    def text(self, ids: list[int]) -> str:
+    def text(self, ids) -> str:
         return self.encoding.decode_bytes(ids).decode("utf-8", "surrogatepass")
 
-    def read(self, ids: list[int], mask: list[int]) -> tuple[str, str, str, str]:
+    def read(self, ids, mask) -> tuple[str, str, str, str]:
         """Role, text, text under the mask, and the formatted text, from a turn's ids."""
-        sep = ids.index(self.sep)
-        role, body = self.text(ids[1:sep]), self.text(ids[sep + 1 : -1])
-        loss = self.text([i for i, m in zip(ids, mask) if m])
+        ids, mask = np.asarray(ids, np.int32), np.asarray(mask, bool)
+        sep = int(np.argmax(ids == self.sep))
+        role, body = self.text(ids[1:sep].tolist()), self.text(ids[sep + 1 : -1].tolist())
+        loss = self.text(ids[mask].tolist()) if mask.any() else ""
         return unescape(role), unescape(body), unescape(loss), f"{MARKS[0]}{role}{MARKS[1]}{body}{MARKS[2]}"
 
 
@@ -88,41 +98,88 @@ def _template(path: str) -> Template:
 _ORDER = ["conv_id", "turn", "role", "text"]
 
 
-def turns(conversations: DataFrame, vocab: str) -> DataFrame:
-    """One row per turn, conversations together and in order within a partition: conv_id, turn, offset, ids, loss_mask.
+def _kinds(df: DataFrame) -> tuple[str, str]:
+    return df.schema["conv_id"].dataType.simpleString(), df.schema["turn"].dataType.simpleString()
 
-    ``offset`` is the number of ids before the turn in its conversation.
-    """
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Conversations together and in order within a partition."""
+    return rows.repartition(F.col("conv_id")).sortWithinPartitions(*_ORDER)
+
+
+def encoded(conversations: DataFrame, vocab: str) -> DataFrame:
+    """One row per turn, in no order: conv_id, turn, role, text, ids, loss_mask. A map."""
     prepare(conversations.sparkSession)
     texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")]
-    rows = conversations.select("conv_id", "turn", *texts).repartition(F.col("conv_id")).sortWithinPartitions(*_ORDER)
-    kinds = {c: conversations.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
 
     def run(batches):
-        template, last, offset = _template(vocab), (), 0
+        template = _template(vocab)
         for batch in batches:
-            offsets, ids, masks = [], [], []
-            for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if last != (conv,):
-                    last, offset = (conv,), 0
+            ids, masks, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int8)], [0]
+            for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 i, m = template.turn(role, text)
-                offsets.append(offset)
                 ids.append(i)
                 masks.append(m)
-                offset += len(i)
-            arrays = [pa.array(offsets, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["conv_id", "turn", "offset", "ids", "loss_mask"])
+                ends.append(ends[-1] + len(i))
+            at = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (ids, masks)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*_ORDER, "ids", "loss_mask"])
+
+    conv, turn = _kinds(conversations)
+    rows = conversations.select("conv_id", "turn", *texts)
+    return rows.mapInArrow(run, f"conv_id {conv}, turn {turn}, role string, text string, ids array<int>, loss_mask array<tinyint>")
+
+
+def turns(conversations: DataFrame, vocab: str) -> DataFrame:
+    """One row per turn, conversations together and in order within a partition: conv_id, turn, offset, ids, loss_mask.
+
+    ``offset`` is the number of ids before the turn in its conversation.
+    """
+    conv, turn = _kinds(conversations)
+
+    def run(batches):
+        last, offset = (), 0
+        for batch in batches:
+            offsets = []
+            for c, n in zip(batch.column(0).to_pylist(), batch.column(4).value_lengths().to_pylist()):
+                if last != (c,):
+                    last, offset = (c,), 0
+                offsets.append(offset)
+                offset += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(offsets, pa.int64()), batch.column(4), batch.column(5)], ["conv_id", "turn", "offset", "ids", "loss_mask"])
+
+    return _in_order(encoded(conversations, vocab)).mapInArrow(run, f"conv_id {conv}, turn {turn}, offset long, ids array<int>, loss_mask array<tinyint>")
+
+
+def read_back(formatted: DataFrame, vocab: str) -> DataFrame:
+    """conv_id, turn, role, text, loss (text under the mask; null where it is the whole text) and formatted_chars of rows with ids and loss_mask. A map."""
+    conv, turn = _kinds(formatted)
+    names = ["conv_id", "turn", "role", "text", "loss", "formatted_chars"]
+
+    def run(batches):
+        template = _template(vocab)
+        for batch in batches:
+            found = []
+            for column in (batch.column(2), batch.column(3)):
+                flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+                found.append([flat[a:b] for a, b in zip(at - at[0], at[1:] - at[0])])
+            read = [template.read(ids, mask) for ids, mask in zip(*found)]
+            roles, texts, losses, whole = zip(*read) if read else ((), (), (), ())
+            losses = [None if x == t else x for x, t in zip(losses, texts)]
+            arrays = [*(pa.array(x, pa.string()) for x in (roles, texts, losses)), pa.array(map(len, whole), pa.int64(), size=len(whole))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names)
 
-    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, offset long, ids array<int>, loss_mask array<tinyint>")
+    rows = formatted.select("conv_id", "turn", "ids", "loss_mask")
+    return rows.mapInArrow(run, f"conv_id {conv}, turn {turn}, role string, text string, loss string, formatted_chars long")
 
 
 def digests(formatted: DataFrame, vocab: str) -> DataFrame:
-    """Per conversation, read back from the rows of turns(): counts and digests."""
-    kind = formatted.schema["conv_id"].dataType.simpleString()
+    """Per conversation, read back from rows with ids and loss_mask: counts and digests."""
+    kind, _ = _kinds(formatted)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
-        template, open_ = _template(vocab), None
+        open_ = None
 
         def closed(state) -> tuple:
             conv, n, seen, chars, loss, length = state
@@ -136,23 +193,22 @@ def digests(formatted: DataFrame, vocab: str) -> DataFrame:
         id_type = None
         for batch in batches:
             done, id_type = [], batch.schema.field(0).type
-            for conv, offset, ids, mask in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if offset == 0:
+            for conv, role, text, loss, chars in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+                if open_ is None or open_[0] != conv:
                     if open_:
                         done.append(closed(open_))
                     open_ = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text, loss, whole = template.read(ids, mask)
+                loss = text if loss is None else loss
                 open_[1] += 1
                 open_[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 open_[3] += len(loss)
                 open_[4].update(loss.encode("utf-8", "surrogatepass"))
-                open_[5] += len(whole)
+                open_[5] += chars
             yield table(done, id_type)
         if open_:
             yield table([closed(open_)], id_type)
 
-    rows = formatted.select("conv_id", "offset", "ids", "loss_mask")
-    return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _in_order(read_back(formatted, vocab)).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def formatted(conversations: DataFrame, vocab: str) -> Iterator[str]:

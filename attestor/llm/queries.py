@@ -48,7 +48,7 @@ def op8_chat_formatting(spark, sf_dir):
     fixed = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
     rows = rows.unionByName(spark.createDataFrame(fixed, "conv_id long, turn long, role string, text string"))
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return chat.digests(chat.turns(rows, vocab), vocab)
+    return chat.digests(chat.encoded(rows, vocab), vocab)
 
 
 def op9_byte_bpe(spark, sf_dir):

@@ -452,7 +452,13 @@ def test_chat(spark):
             (3, 1, "assistant", "same"), (3, 1, "assistant", "same"), (4, 1, nasty, prose(20_000))]
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, offset int, ids string").repartition(3)
-    got = {r.conv_id: r for r in chat.digests(chat.turns(df, vocab), vocab).collect()}
+    in_order = chat.turns(df, vocab)
+    at = {}
+    for r in in_order.collect():
+        assert r.offset == at.get(r.conv_id, 0) and len(r.ids) == len(r.loss_mask)
+        at[r.conv_id] = r.offset + len(r.ids)
+    assert order(map(tuple, chat.digests(in_order, vocab).collect())) == order(map(tuple, chat.digests(chat.encoded(df, vocab), vocab).collect()))
+    got = {r.conv_id: r for r in chat.digests(chat.encoded(df, vocab), vocab).collect()}
     for conv in {r[0] for r in rows}:
         turns = sorted(((t if t is not None else -1, r or "", x or "") for c, t, r, x in rows if c == conv))
         all_text = "".join(f"{r}\n{x}\n" for _, r, x in turns)
