@@ -1,18 +1,22 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A text's bytes are cut where a gear hash of the last 16 bytes has zero bits, so cuts move with the
-content when something is inserted before it. Runs of CHAIN chunks (about 80 bytes) are looked up by
-digest. Of the places of a digest the first (in table order) is the original; all others are repeats.
-Stretches of repeats of at least LEAST bytes are cut out of their texts, in whole words; originals stay.
-
-Each task resolves the repeats among its own places and sends on only the first place of a digest, so
-a passage that many documents share reaches the task of its digest once per task, not once per
+content when something is inserted before it. A stretch without such a place for LONGEST bytes is cut at the
+last least hash in it, which also is a rule of the content: text of one word over and over is cut in step
+wherever it stands. Runs of CHAIN chunks (about 70 bytes) are looked up by digest, 96 bits of two independent
+hashes. Of the documents that hold a digest the one with the least id is the original (by hash, where ids are not
+whole numbers; without an id, the last); its runs stay, in all others they are repeats. What repeats only within
+one document stays. Stretches of repeats of at least LEAST bytes are cut out of their texts, in whole words, or in
+whole characters where no white space is within EDGE bytes. Up to about a chunk on either side of a passage stays.
+
+Each task resolves the repeats among HELD places at a time and sends on only the first place of a digest among
+them, so a passage that many documents share reaches the task of its digest once for each such load, not once per
 document. Digests are dealt to as many tasks as the table's size asks for.
 
 Defined cases: a null text stays null, an empty one empty; texts of fewer than CHAIN chunks are left as
 they are; a text that wholly repeats others becomes (nearly) empty but its row stays; rows that repeat
 both id and text are treated as one and get the same text; null ids are allowed; an empty table stays
-empty; extra columns pass through, but for ones named
+empty; the result does not depend on the order of rows; extra columns pass through, but for ones named
 removed or n_removed, which are replaced.
 """
 
@@ -24,33 +28,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.shingles import mix
 from attestor.runtime import prepare, tidied
 
 #: A cut where these bits are zero; bytes of a chunk at least and at most; chunks looked up together; bytes cut out at least.
-MASK, SHORTEST, LONGEST, CHAIN, LEAST = 0xF000, 8, 256, 3, 100
+MASK, SHORTEST, LONGEST, CHAIN, LEAST = 0xF000, 8, 48, 3, 100
+#: Bytes in which an edge of a stretch looks for white space.
+EDGE = 64
 #: Bytes handled at once; places resolved at once in a task; bytes of text for each bucket of digests; tasks that resolve buckets, one after the other.
 SLICE, HELD, BUCKET, TASKS = 1 << 20, 500_000, 16 << 20, 100_000
 
 _r = np.random.default_rng(977)
 _GEAR = _r.integers(0, 1 << 16, 256).astype(np.uint16)
-_BYTE = _r.integers(1, 1 << 63, 256, dtype=np.uint64)
-_PLACE = _r.integers(1, 1 << 63, LONGEST, dtype=np.uint64) | np.uint64(1)
-_LINK = _r.integers(1, 1 << 63, CHAIN, dtype=np.uint64) | np.uint64(1)
+#: Two of each, for two hashes.
+_BYTE = _r.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+_PLACE = _r.integers(1, 1 << 63, (2, LONGEST), dtype=np.uint64) | np.uint64(1)
+_LINK = _r.integers(1, 1 << 63, (2, CHAIN), dtype=np.uint64) | np.uint64(1)
 _PAD = bytes(16)
 
 
-def _raw_cuts(b: np.ndarray) -> np.ndarray:
-    """Positions after which the gear hash asks for a cut."""
+def _gear(b: np.ndarray) -> np.ndarray:
+    """The gear hash of the 16 bytes up to each place."""
     h = _GEAR[b]
     for s in (1, 2, 4, 8):  # the hash of 2s bytes from that of s: h(i) + (h(i - s) << s)
         more = h.copy()
         more[s:] += h[:-s] << np.uint16(s)
         h = more
-    return np.flatnonzero((h & np.uint16(MASK)) == 0) + 1
+    return h
 
 
 def _cuts(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +66,7 @@ def _cuts(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     parts = []
     for a in range(0, len(b), SLICE):
         low = max(0, a - len(_PAD))
-        found = _raw_cuts(b[low : a + SLICE]) + low
+        found = np.flatnonzero((_gear(b[low : a + SLICE]) & np.uint16(MASK)) == 0) + 1 + low
         parts.append(found[found > a] if a else found)
     raw = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     owner = np.searchsorted(ends, raw, "left")
@@ -74,30 +81,42 @@ def _cuts(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     before = np.maximum(np.concatenate([[0], points[:-1]]), starts[owner]) if len(points) else points
     long = np.flatnonzero(points - before > LONGEST)
     if len(long):
-        extra = [np.arange(before[i] + LONGEST, points[i], LONGEST) for i in long]
+        extra = [_forced(b, int(before[i]), int(points[i])) for i in long]
         points = np.sort(np.concatenate([points, *extra]))
         owner = np.searchsorted(ends, points, "left")
     return points, owner
 
 
+def _forced(b: np.ndarray, start: int, end: int) -> list[int]:
+    """Cuts of a long chunk, each at the last least hash of the next LONGEST bytes."""
+    hashes = _gear(b[start + 1 - len(_PAD) : end])[len(_PAD) - 1 :]
+    out, at = [], start
+    while end - at > LONGEST:
+        window = hashes[at + SHORTEST - 1 - start : at + LONGEST - start]
+        at += LONGEST - int(window[::-1].argmin())
+        out.append(at)
+    return out
+
+
 def _digests(buffer: bytes, begin: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each chunk [begin, end)."""
+    """Two hashes of each chunk [begin, end)."""
     b = np.frombuffer(buffer, np.uint8)
-    out = np.empty(len(ends), np.uint64)
+    out = np.empty((2, len(ends)), np.uint64)
     i = 0
     while i < len(ends):
         j = max(i + 1, int(np.searchsorted(ends, begin[i] + SLICE)))
         size = ends[i:j] - begin[i:j]
         first = np.cumsum(size) - size
         within = np.arange(size.sum()) - np.repeat(first, size)
-        values = _BYTE[b[np.repeat(begin[i:j], size) + within]] * _PLACE[within]
-        out[i:j] = np.add.reduceat(values, first) + size.astype(np.uint64)
+        held = b[np.repeat(begin[i:j] - first, size) + np.arange(len(within))]
+        for k in (0, 1):
+            out[k, i:j] = np.add.reduceat(_BYTE[k][held] * _PLACE[k][within], first) + size.astype(np.uint64)
         i = j
     return mix(out)
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text its chunks' ends, and the digests of its runs of CHAIN chunks."""
+    """For each text its chunks' ends, and the digests (two rows, of 64 and of 32 bits) of its runs of CHAIN chunks."""
     group: list[bytes] = []
     held = 0
 
@@ -112,12 +131,10 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         bounds = np.searchsorted(owner, np.arange(len(group) + 1))
         for i, (a, z) in enumerate(zip(bounds, bounds[1:])):
             n = z - a - CHAIN + 1
-            runs = np.zeros(0, np.uint64)
+            runs = np.zeros((2, 0), np.uint64)
             if n > 0:
-                total = digest[a : a + n] * _LINK[0]
-                for k in range(1, CHAIN):
-                    total += digest[a + k : a + k + n] * _LINK[k]
-                runs = mix(total)
+                runs = mix(sum(digest[:, a + k : a + k + n] * _LINK[:, k : k + 1] for k in range(CHAIN)))
+                runs[1] >>= np.uint64(32)
             yield points[a:z] - starts[i], runs
 
     for text in texts:
@@ -130,109 +147,123 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield from done()
 
 
-def _first_places(digest: np.ndarray, uid: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by digest and place, and which of that order come first for their digest."""
-    order = np.lexsort((place, uid, digest))
+def _firsts(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by digest that else leaves places as they are, and for each place of it the first one of its digest."""
+    order = np.argsort(digest, kind="stable")
     d = digest[order]
-    return order, np.concatenate([[True], d[1:] != d[:-1]])
+    new = np.concatenate([[True], d[1:] != d[:-1]])
+    return order, order[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
 
 
-def _by_document(uid: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(uid, kind="stable")
-    uid, place = uid[order], place[order]
-    cuts = np.flatnonzero(np.diff(uid, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(uid)]):
-        yield int(uid[a]), place[a:b]
+def _by_document(key: np.ndarray, text: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(key and text hash of a document, its distinct places)."""
+    order = np.lexsort((place, text, key))
+    key, text, place = key[order], text[order], place[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])) if len(key) else []
+    for a, b in zip(cuts, [*cuts[1:], len(key)]):
+        yield int(key[a]), int(text[a]), np.unique(place[a:b])
 
 
 def _encode(t: str | None) -> bytes:
     return (t or "").encode("utf-8", "surrogatepass")
 
 
+def _key(df: DataFrame, id_col: str) -> Column:
+    """What orders documents: a whole number as it is, another id by its hash, a null one last."""
+    whole = df.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit((1 << 63) - 1))
+
+
+_ENTRY = np.dtype([("digest", "<u8"), ("more", "<u4"), ("key", "<i8"), ("text", "<i8"), ("place", "<i4")])
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, _hash (of the text), places (chunks at which a repeated run starts), for texts that have any."""
+    """_key, _hash (of the text), places (chunks at which a run starts that an earlier document has), for texts that have any.
+
+    Of a run that a text holds more than once at least one place is given.
+    """
     prepare(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = int(max(16, -(-size // BUCKET)))
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    names = ["bucket", "uid", "id", "hash", "places", "blob"]
-
-    def batch_of(rows: list[tuple], id_type) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * 6
-        types = [pa.int32(), pa.int64(), id_type, pa.int64(), pa.list_(pa.int32()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-    def resolved(uids: list, counts: list, digests: list) -> Iterator[tuple]:
-        """A task's own repeats by document, and its first places by bucket."""
-        uid = np.repeat(np.array(uids, np.int64), counts)
-        place = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
-        digest = np.concatenate(digests)
-        order, first = _first_places(digest, uid, place)
-        again = order[~first]
-        for u, p in _by_document(uid[again], place[again]):
-            yield u % buckets, u, None, None, p, None
-        order = order[first]  # by digest, so by bucket
-        bucket = ((digest[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    rows = docs.select(_key(docs, id_col).alias("key"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * 5
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["bucket", "key", "hash", "places", "blob"])
+
+    def found(entries: np.ndarray, order: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        """The places, in ``order``, whose digest stands in another document ``first``; by document."""
+        a, b = entries[order], entries[first]
+        again = order[(a["more"] == b["more"]) & ((a["key"] != b["key"]) | (a["text"] != b["text"]))]
+        for key, text, places in _by_document(*(entries[c][again] for c in ("key", "text", "place"))):
+            yield (key ^ text) % buckets, key, text, places, None
+
+    def resolved(held: list[tuple]) -> Iterator[tuple]:
+        """A load's own repeats by document, and its first places by bucket."""
+        held.sort(key=lambda x: x[:2])
+        counts = [x[2].shape[1] for x in held]
+        entries = np.empty(sum(counts), _ENTRY)
+        for c, k in (("key", 0), ("text", 1)):
+            entries[c] = np.repeat(np.array([x[k] for x in held], np.int64), counts)
+        entries["place"] = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
+        entries["digest"], entries["more"] = np.concatenate([x[2] for x in held], axis=1)
+        order, first = _firsts(entries["digest"])
+        yield from found(entries, order, first)
+        order = order[(order == first) | (entries["more"][order] != entries["more"][first])]  # by digest, so by bucket
+        bucket = ((entries["digest"][order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            o = order[a:b]
-            yield int(bucket[a]), None, None, None, None, digest[o].tobytes() + uid[o].tobytes() + place[o].tobytes()
+            yield int(bucket[a]), None, None, None, entries[order[a:b]].tobytes()
 
     def chunk(batches):
-        uids, counts, digests, held, id_type = [], [], [], 0, None
+        held, places = [], 0
         for batch in batches:
-            id_type = batch.schema.field(1).type
-            out = [(u % buckets, u, i, h, None, None) for u, i, h in zip(*(batch.column(k).to_pylist() for k in range(3)))]
-            for u, (_, runs) in zip(batch.column(0).to_pylist(), chunks([_encode(t) for t in batch.column(3).to_pylist()])):
-                if len(runs):
-                    uids.append(u)
-                    counts.append(len(runs))
-                    digests.append(runs)
-                    held += len(runs)
-                if held > HELD:
-                    out.extend(resolved(uids, counts, digests))
-                    uids, counts, digests, held = [], [], [], 0
-            yield batch_of(out, id_type)
-        if uids:
-            yield batch_of(list(resolved(uids, counts, digests)), id_type)
+            out = []
+            keys, hashes = (batch.column(k).to_pylist() for k in (0, 1))
+            for key, text, (_, runs) in zip(keys, hashes, chunks([_encode(t) for t in batch.column(2).to_pylist()])):
+                if runs.shape[1]:
+                    held.append((key, text, runs))
+                    places += runs.shape[1]
+                if places > HELD:
+                    out.extend(resolved(held))
+                    held, places = [], 0
+            yield batch_of(out)
+        if held:
+            yield batch_of(list(resolved(held)))
 
     def meet(blobs: list[bytes]) -> Iterator[tuple]:
-        parts = [(np.frombuffer(x, np.uint64, n), np.frombuffer(x, np.int64, n, 8 * n), np.frombuffer(x, np.int32, n, 16 * n)) for x in blobs for n in (len(x) // 20,)]
-        digest, uid, place = (np.concatenate(p) for p in zip(*parts))
-        order, first = _first_places(digest, uid, place)
-        again = order[~first]
-        for u, p in _by_document(uid[again], place[again]):
-            yield 0, u, None, None, p, None
+        entries = np.frombuffer(b"".join(blobs), _ENTRY)
+        order, first = _firsts(entries["digest"])
+        shared = np.isin(first, first[order != first])
+        entries = entries[order[shared]]
+        entries = entries[np.lexsort((entries["place"], entries["text"], entries["key"]))]
+        if len(entries):
+            yield from found(entries, *_firsts(entries["digest"]))
 
     def look_up(batches):
-        blobs, last, id_type = [], None, None
+        blobs, last = [], None
         for batch in batches:
-            id_type, out = batch.schema.field(2).type, []
-            plain = batch.filter(pc.is_null(batch.column(5)))
-            sent = batch.filter(pc.is_valid(batch.column(5)))
-            for b, x in zip(sent.column(0).to_pylist(), sent.column(5).to_pylist()):
+            out = []
+            sent = batch.filter(pc.is_valid(batch.column(4)))
+            for b, x in zip(sent.column(0).to_pylist(), sent.column(4).to_pylist()):
                 if b != last and blobs:
                     out.extend(meet(blobs))
                     blobs = []
                 last = b
                 blobs.append(x)
-            yield plain
-            yield batch_of(out, id_type)
+            yield batch.filter(pc.is_null(batch.column(4)))
+            yield batch_of(out)
         if blobs:
-            yield batch_of(list(meet(blobs)), id_type)
+            yield batch_of(list(meet(blobs)))
 
-    schema = f"bucket int, uid long, id {kind}, hash long, places array<int>, blob binary"
+    schema = "bucket int, key long, hash long, places array<int>, blob binary"
     dealt = rows.mapInArrow(tidied(chunk), schema).repartition(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(tidied(look_up), schema)
-    # rows of documents hold id and hash, rows of repeats places; they meet by document, then rows that repeat id and text
-    each = found.groupBy("uid").agg(F.max("id").alias("_id"), F.max("hash").alias("_hash"), F.flatten(F.collect_list("places")).alias("places"))
-    one = each.groupBy("_id", "_hash").agg(F.min_by("places", "uid").alias("places"))
-    return one.where(F.size("places") > 0)
+    return dealt.mapInArrow(tidied(look_up), schema).groupBy(F.col("key").alias("_key"), F.col("hash").alias("_hash")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
 
 def spans(text: bytes, ends: np.ndarray, places: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
-    """Byte ranges to cut out: stretches covered by repeated runs, of at least ``least`` bytes, shrunk to whole words."""
+    """Byte ranges to cut out: stretches covered by repeated runs, of at least ``least`` bytes, shrunk to whole words or characters."""
     marked = np.zeros(len(ends) + 1, np.int64)
     np.add.at(marked, places, 1)
     np.add.at(marked, np.minimum(places + CHAIN, len(ends)), -1)
@@ -243,20 +274,25 @@ def spans(text: bytes, ends: np.ndarray, places: np.ndarray, least: int = LEAST)
     for a, b in zip(begin[edge[::2]].tolist(), begin[edge[1::2]].tolist()):
         if b - a < least:
             continue
-        while 0 < a < b and text[a - 1 : a].strip():
-            a += 1
-        while a < b < len(text) and text[b : b + 1].strip() and text[b - 1 : b].strip():
-            b -= 1
+        a, b = _edge(text, a, range(a, min(b, a + EDGE) + 1)), _edge(text, b, range(b, max(a, b - EDGE) - 1, -1))
         if a < b:
             out.append((a, b))
     return out
 
 
+def _edge(text: bytes, at: int, near: range) -> int:
+    """The first place of ``near`` beside white space or the text's ends; else the first that parts no character."""
+    for i in near:
+        if i in (0, len(text)) or text[i - 1 : i].isspace() or text[i : i + 1].isspace() and near.step < 0:
+            return i
+    return next((i for i in near if text[i] & 0xC0 != 0x80), at)
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``docs`` with repeats cut out of ``text_col``, and n_removed (characters) and removed (their ranges in the text before)."""
     tag = f"_cut{uuid.uuid4().hex[:8]}"  # no column of docs
-    found = repeats(docs, id_col, text_col).select(F.col("_id").alias(f"{tag}i"), F.col("_hash").alias(f"{tag}h"), F.col("places").alias(f"{tag}p"))
-    joined = docs.withColumn(tag, F.xxhash64(text_col)).join(found, (F.col(tag) == F.col(f"{tag}h")) & F.col(id_col).eqNullSafe(F.col(f"{tag}i")), "left")
+    found = repeats(docs, id_col, text_col).select(F.col("_key").alias(f"{tag}k"), F.col("_hash").alias(f"{tag}h"), F.col("places").alias(f"{tag}p"))
+    joined = docs.withColumns({f"{tag}k": _key(docs, id_col), f"{tag}h": F.xxhash64(text_col)}).join(found, [f"{tag}k", f"{tag}h"], "left")
 
     @F.pandas_udf("text string, removed array<struct<start:int,end:int>>")
     def cut(texts, places):
@@ -268,8 +304,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append((text, []))
                 continue
             data = _encode(text)
-            ((ends, _),) = chunks([data])
-            gone = spans(data, ends, np.asarray(at, np.int64), least)
+            ((ends, runs),) = chunks([data])
+            # a run that an earlier document has is a repeat wherever it stands in this one
+            gone = spans(data, ends, np.flatnonzero(np.isin(runs[0], runs[0][np.asarray(at, np.int64)])), least)
             kept, last, ranges = [], 0, []
             length = lambda a, b: len(data[a:b].decode("utf-8", "surrogatepass"))
             done = 0
