@@ -5,10 +5,10 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ BATCH_ROWS = 1000
 
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
+_local: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches and put this package on the executors' path, once per application."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    held = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(held)) <= BATCH_ROWS:  # a smaller bound of the caller's stays
+        spark.conf.set(held, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -71,12 +74,14 @@ def tidied(task):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Only a local master, where all is one process, may do without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "attestor-scratch")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="attestor-"))
 
 
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
@@ -101,9 +106,19 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def release() -> None:
-    """Delete every table that materialise() has written."""
-    while _written:
+@contextmanager
+def scratch():
+    """Tables that materialise() writes within go at the end."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release(before)
+
+
+def release(before: int = 0) -> None:
+    """Delete the tables that materialise() has written, but for the first ``before`` of them."""
+    while len(_written) > before:
         spark, path = _written.pop()
         try:
             sc = spark.sparkContext

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestor.operators.claims import claims
 from attestor.plans.verify import verify
+from attestor.runtime import scratch
 
 
 def document_stream(spark: SparkSession, folder: str, schema: str = "doc_id long, text string, lang string, source string, n_chars long") -> DataFrame:
@@ -19,9 +20,13 @@ def claim_stream(docs: DataFrame, most: int = 5) -> DataFrame:
 
 
 def verdict_stream(docs: DataFrame, provider, path: str, checkpoint: str):
-    """Start a query that appends the verdicts of every micro-batch to ``path``; a claim's evidence is complete in its batch."""
+    """Start a query that appends the verdicts of every micro-batch to ``path``; a claim's evidence is complete in its batch.
+
+    What a micro-batch stores between steps goes at its end.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        verify(rows, provider)["verdicts"].write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with scratch():
+            verify(rows, provider)["verdicts"].write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
