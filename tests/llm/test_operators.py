@@ -659,3 +659,30 @@ def test_pipeline(spark, tmp_path):
     assert sum(" ".join(PASSAGE.split()[15:65]) in t for t in texts) == 1 and all(r.n_chars == len(r.text) for r in seen[3].collect())
     assert {r.doc_id for r in seen[4].collect()} == ids[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[4].count()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, docs, nothing, tmp_path, name):
+    """Nulls, repeated rows, odd texts, columns with clashing names, and no rows, in each stage on its own."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    labels = [(i, int(i % 3 > 0), 0) for i, t in ROWS if i is not None and t] + [(None, 1, 0), (2, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("n_removed", F.lit("x")).withColumn("kept", F.lit(1))
+    out = stage(spark, rows, str(tmp_path))
+    got = out.collect()
+    ids = {i for i, _ in ROWS}
+    if name == "packing":
+        assert {r.doc_id for r in got} == ids and sum(r.length for r in got) > len(ROWS)
+    else:
+        assert out.columns == rows.columns and 0 < len(got) <= len(ROWS) and {r.doc_id for r in got} <= ids
+    if name == "quality classifier":
+        by_text = {}
+        for r in got:
+            by_text.setdefault(r.text or "", []).append(r)
+        assert all(len(found) == sum((t or "") == text for _, t in ROWS) for text, found in by_text.items())
+    if name == "exact dedup":
+        assert len(got) == len({plain_digest(t) for _, t in ROWS})
+    if name == "substring dedup":
+        assert all(r.text is None or r.n_chars == len(r.text) for r in got)
+        assert sum(not (r.text or "").strip() for r in got) == sum(not (t or "").strip() for _, t in ROWS)  # none was wholly cut here
+    assert stage(spark, rows.limit(0), str(tmp_path)).count() == 0
