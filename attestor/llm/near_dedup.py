@@ -39,7 +39,7 @@ from attestor.runtime import materialise, prepare, settle, tidied
 #: Hundredths of the union that must be shared; coordinates of a sketch; rows of a band.
 PERCENT, SKETCH, ROWS = 75, 128, 4
 #: Shingles and nodes of a block of nodes that is compared with another block in one task.
-BLOCK, NODES = 400_000, 1024
+BLOCK, NODES = 400_000, 512
 #: A key with more than one in so many of the rows of a join is dealt over several tasks.
 HEAVY = 1024
 
