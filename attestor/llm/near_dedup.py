@@ -5,7 +5,7 @@
 2. In each bucket of a band every node is compared with one leader, on full sets; links give components.
 3. Buckets that still hold nodes of different components are gone through exactly, in blocks: nodes
    outside the leader's component against all others, again on full sets. A block holds at most about
-   BLOCK shingles and NODES nodes, so a task's memory does not grow with its bucket; nodes whose sizes
+   BLOCK shingles and NODES or MAIN nodes, so a task's memory does not grow with its bucket; nodes whose sizes
    alone rule a link out are not compared. A block of links that are needed to connect components is all
    that leaves a task. No pair inside a component is ever made.
 4. Components by repeated minimum labels with pointer jumping.
@@ -38,8 +38,8 @@ from attestor.runtime import materialise, prepare, settle, tidied
 
 #: Hundredths of the union that must be shared; coordinates of a sketch; rows of a band.
 PERCENT, SKETCH, ROWS = 75, 128, 4
-#: Shingles and nodes of a block of nodes that is compared with another block in one task.
-BLOCK, NODES = 400_000, 512
+#: Shingles of a block that is compared with another block at once; nodes of a block outside the leader's component, and inside it.
+BLOCK, NODES, MAIN = 400_000, 1024, 128
 #: A key with more than one in so many of the rows of a join is dealt over several tasks.
 HEAVY = 1024
 
@@ -154,12 +154,12 @@ def _blocks(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     rows = settle(even_join(rows, main, "band").withColumn("rest", F.col("label") != F.col("main")), "blocks")
     # blocks by a hash of the node, as many as the nodes and their sets ask for: even, and without ordering a bucket in one task
     other = ~F.col("rest") & (F.col("uid") != F.col("leader"))
-    most = lambda cond: F.greatest(F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)) / BLOCK, F.count_if(cond) / NODES)
-    last = lambda cond: F.floor(most(cond)).cast("int")
+    most = lambda cond, n: F.greatest(F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)) / BLOCK, F.count_if(cond) / n)
+    last = lambda cond, n: F.floor(most(cond, n)).cast("int")
     # two nodes: compared already; a bucket with the same nodes as another: gone through once
     mark = lambda s: F.sum(F.xxhash64(F.col("uid"), F.lit(s)).cast("decimal(20,0)"))
     buckets = rows.groupBy("band").agg(
-        F.count(F.lit(1)).alias("c"), F.count_if("rest").alias("r"), mark(1).alias("s"), mark(2).alias("t"), last(F.col("rest")).alias("last_r"), last(other).alias("last_m")
+        F.count(F.lit(1)).alias("c"), F.count_if("rest").alias("r"), mark(1).alias("s"), mark(2).alias("t"), last(F.col("rest"), NODES).alias("last_r"), last(other, MAIN).alias("last_m")
     ).where("c > 2 and r > 0")
     once = _stored(buckets.groupBy("c", "s", "t").agg(F.min_by(F.struct("band", "last_r", "last_m"), "band").alias("b")).select("b.*", "c"), "buckets")
     # tasks: (i, j) of a rest block and a main block; (i, -1 - k) of two rest blocks i < k; rest block i with itself in (i, 0)

@@ -299,6 +299,7 @@ def test_near_copies_through_members_that_are_not_the_leader(spark):
 def test_blocks_of_a_large_bucket(spark, monkeypatch, nodes):
     """Many short nodes in one bucket, dealt in blocks: all links between components, and none inside one."""
     monkeypatch.setattr(near_dedup, "NODES", nodes)
+    monkeypatch.setattr(near_dedup, "MAIN", nodes // 2)
     r = np.random.default_rng(3)
     found = [np.unique(r.integers(0, 1 << 62, 20, dtype=np.uint64)) for _ in range(2500)]
     linked = {(k, k + 1) for k in range(100, 2400, 7)}
