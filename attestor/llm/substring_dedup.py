@@ -39,7 +39,7 @@ MASK, SHORTEST, LONGEST, CHAIN, LEAST = 0xF000, 8, 48, 3, 100
 #: Bytes in which an edge of a stretch looks for white space.
 EDGE = 64
 #: Bytes handled at once; places resolved at once in a task; bytes of text for each bucket of digests; tasks that resolve buckets, one after the other.
-SLICE, HELD, BUCKET, TASKS = 1 << 20, 500_000, 16 << 20, 100_000
+SLICE, HELD, BUCKET, TASKS = 1 << 20, 500_000, 32 << 20, 100_000
 
 _r = np.random.default_rng(977)
 _GEAR = _r.integers(0, 1 << 16, 256).astype(np.uint16)
