@@ -185,6 +185,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prepare(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = int(max(16, -(-size // BUCKET)))
+    tasks = min(buckets, TASKS)
     rows = docs.select(_key(docs, id_col).alias("key"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -258,7 +259,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield batch_of(list(meet(blobs)))
 
     schema = "bucket int, key long, hash long, places array<int>, blob binary"
-    dealt = rows.mapInArrow(tidied(chunk), schema).repartition(min(buckets, TASKS), "bucket").sortWithinPartitions("bucket")
+    dealt = rows.mapInArrow(tidied(chunk), schema).repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
     return dealt.mapInArrow(tidied(look_up), schema).groupBy(F.col("key").alias("_key"), F.col("hash").alias("_hash")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
 
