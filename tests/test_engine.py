@@ -174,11 +174,21 @@ def test_registry(spark):
     assert got == {(1, 1): "a", (2, 1): "a", (3, 1): "c"}
 
 
-def test_whole_plan_with_built_in_topics(spark):
+def test_topics_and_keys_are_bounded(spark, monkeypatch):
+    queries = spark.createDataFrame([(1, "Wheat and interest rate"), (2, "GRAIN harvest"), (3, "weather"), (4, None)], "query_key int, query_text string")
+    got = {(r.query_key, r["rank"], r.domain) for r in se.default_provider(spark)(queries, 2).collect()}
+    assert got == {(1, 1, "rbi.org.in"), (1, 2, "thehindu.com"), (2, 1, "fao.org")}
+    monkeypatch.setattr(se, "KEYS", 1)
+    registry = spark.createDataFrame([(1, "a", [("x",)]), (2, "b", [("y",)])], "seq int, key string, results array<struct<title:string>>")
+    with pytest.raises(ValueError, match="registered keys"):
+        se.registry_search(queries, registry)
+
+
+def test_whole_plan_with_topics(spark):
     from attestor.plans.verify import report_lines, verify
 
     docs = spark.createDataFrame([(1, "The RBI kept the repo rate unchanged at 6.5%. The weather was nice in the hills today."), (2, "")], "doc_id long, text string")
-    out = verify(docs, se.topic_provider)
+    out = verify(docs, se.demonstration(spark))
     claims = {(r.doc_id, r.claim_id): r for r in out["claims"].collect()}
     assert claims[1, "C001"].status == "SUCCESS" and claims[1, "C001"].source_count == 3
     verdict = {r.claim_id: r for r in out["verdicts"].collect()}["C001"]
