@@ -104,9 +104,14 @@ def literal(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once, whatever loops and repeats the body has."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(text: Column, parts: list[str]) -> Column:
     """Whether any of the parts stands somewhere in the text."""
-    return F.exists(literal(parts), lambda p: F.contains(text, p))
+    return let(text, lambda t: F.exists(literal(parts), lambda p: F.contains(t, p)))
 
 
 def strings(column: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import lexicon as lx
 from attestor.functions.dialect import (
-    count, every, first, has, is_alpha, is_devanagari, java, literal, member, one_of, replace, split_words, starts_upper, strings, strip, tokens, whole,
+    count, every, first, has, is_alpha, is_devanagari, java, let, literal, member, one_of, replace, split_words, starts_upper, strings, strip, tokens, whole,
 )
 
 #: Bounds of a claim.
@@ -39,6 +39,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
+def after_first(words: Column) -> Column:
+    """All entries but the first."""
+    return F.slice(words, 2, F.size(words))
+
+
 def is_long_enough(sentence: Column) -> Column:
     return (F.length(sentence) >= LEAST_CHARS) & (F.size(split_words(sentence)) >= LEAST_WORDS)
 
@@ -64,7 +69,7 @@ def is_viable(sentence: Column) -> Column:
 
 def priority(sentence: Column, n_facts: Column | None = None) -> Column:
     """Factual density of a sentence."""
-    later = F.slice(split_words(sentence), 2, 1_000_000)
+    later = after_first(split_words(sentence))
     names = F.size(F.filter(later, lambda w: F.rlike(w, F.lit(r"^\p{Lu}\p{L}*$"))))
     hindi = F.when(
         is_devanagari(sentence),
@@ -101,11 +106,22 @@ def stem(word: Column) -> Column:
 
 def substantive(text: Column) -> Column:
     """The distinct tokens that carry meaning, and their stems. Stop words go by array_except, which hashes them."""
-    found = F.array_distinct(tokens(F.lower(text)))
-    hindi = F.array_except(F.filter(found, lambda w: is_devanagari(w) & (F.length(w) >= 2)), literal(lx.HINDI_STOPWORDS))
-    other = F.array_except(F.filter(found, lambda w: ~is_devanagari(w) & (F.length(w) >= 3)), literal(lx.RELEVANCE_STOPWORDS))
-    stems = F.array_except(F.filter(F.transform(other, stem), lambda w: F.length(w) >= 3), literal(lx.RELEVANCE_STOPWORDS))
-    return F.array_distinct(F.concat(hindi, other, stems))
+
+
+    def both(found: Column) -> Column:
+        hindi = F.array_except(F.filter(found, lambda w: is_devanagari(w) & (F.length(w) >= 2)), literal(lx.HINDI_STOPWORDS))
+        other = F.array_except(F.filter(found, lambda w: ~is_devanagari(w) & (F.length(w) >= 3)), literal(lx.RELEVANCE_STOPWORDS))
+        return let(other, lambda o: F.array_distinct(F.concat(hindi, o, stems(o))))
+
+    def stems(words: Column) -> Column:
+        return F.array_except(F.filter(F.transform(words, stem), lambda w: F.length(w) >= 3), literal(lx.RELEVANCE_STOPWORDS))
+
+    return let(distinct_words(text), both)
+
+
+def distinct_words(text: Column) -> Column:
+    """The distinct tokens in lower case, in order."""
+    return F.array_distinct(tokens(F.lower(text)))
 
 
 def domain_of(url: Column) -> Column:
@@ -120,8 +136,9 @@ def numbers(text: Column) -> Column:
     value = lambda r: F.btrim(r, F.lit("%,$€£₹ ")).cast("double")
     year = lambda r: F.rlike(r, F.lit(r"^\p{Nd}{4}$")) & value(r).between(1900, 2100)
     usable = F.filter(raws, lambda r: value(r).isNotNull() & ~year(r))
-    values = F.array_distinct(F.transform(usable, value))
-    return F.transform(values, lambda v: F.struct(v.alias("val"), F.element_at(F.filter(usable, lambda r: value(r) == v), -1).alias("raw")))
+    pairs = F.transform(usable, lambda r: F.struct(value(r).alias("val"), r.alias("raw")))
+    last = lambda found, v: F.element_at(F.filter(found, lambda p: p["val"] == v), -1)["raw"]
+    return let(pairs, lambda found: F.transform(F.array_distinct(found["val"]), lambda v: F.struct(v.alias("val"), last(found, v).alias("raw"))))
 
 
 def dates(text: Column) -> Column:
@@ -145,7 +162,10 @@ def attribution(text: Column) -> Column:
 
 def directions(text: Column) -> Column:
     """The directions of change or action that a text's words stand for, sorted."""
-    found = F.array_distinct(tokens(F.lower(text)))
+    return let(distinct_words(text), _directions)
+
+
+def _directions(found: Column) -> Column:
     kinds = [F.when(F.arrays_overlap(found, literal(words)), F.lit(kind)) for kind, words in sorted(lx.DIRECTIONS.items())]
     return F.filter(F.array(*kinds), lambda d: d.isNotNull())
 
@@ -155,11 +175,18 @@ ACTION_WORDS = sorted({w for words in lx.DIRECTIONS.values() for w in words})
 
 def actions(text: Column) -> Column:
     """Action words of a text: known verbs, words in -ed and -ing, Hindi actions anywhere; sorted."""
-    words = F.array_distinct(tokens(F.lower(text)))
+    return let(distinct_words(text), lambda words: _actions(words, text))
+
+
+def hindi_actions(text: Column) -> Column:
+    """Hindi actions that stand anywhere in a text."""
+    return let(F.lower(text), lambda low: F.filter(literal(lx.HINDI_ACTIONS), lambda h: F.contains(low, h)))
+
+
+def _actions(words: Column, text: Column) -> Column:
     known = F.array_intersect(words, literal(ACTION_WORDS))
     formed = F.array_except(F.filter(words, lambda w: (F.length(w) >= 4) & F.rlike(w, F.lit("(?:ed|ing)$"))), literal(lx.QUERY_STOPWORDS))
-    hindi = F.filter(literal(lx.HINDI_ACTIONS), lambda h: F.contains(F.lower(text), h))
-    return F.array_sort(F.array_distinct(F.concat(known, formed, hindi)))
+    return F.array_sort(F.array_distinct(F.concat(known, formed, hindi_actions(text))))
 
 
 _HINDI = re.compile("[\u0900-\u097f]")
@@ -176,10 +203,10 @@ def subjects(text: Column) -> Column:
 
 def representation(text: Column) -> Column:
     """What stance compares: a struct of directions, actions, subjects, numbers, dates, negated, attribution."""
-    return F.struct(
-        directions(text).alias("directions"), actions(text).alias("actions"), subjects(text).alias("subjects"), numbers(text).alias("numbers"),
+    return let(distinct_words(text), lambda words: F.struct(
+        _directions(words).alias("directions"), _actions(words, text).alias("actions"), subjects(text).alias("subjects"), numbers(text).alias("numbers"),
         dates(text).alias("dates"), is_negated(text).alias("negated"), attribution(text).alias("attribution"),
-    )
+    ))
 
 
 def importance(text: Column) -> Column:
@@ -188,7 +215,7 @@ def importance(text: Column) -> Column:
     figures = has(text, r"\b\d{2,}\b")
     official, general = has(text, whole(lx.OFFICIAL_ACTIONS), True), has(text, whole(lx.GENERAL_ACTIONS), True)
     dated = has(text, rf"\b(?:19\d\d|20\d\d|{one_of(lx.MONTHS)})\b", True)
-    names = F.size(F.filter(F.slice(split_words(text), 2, 1_000_000), lambda w: starts_upper(w) & is_alpha(w)))
+    names = F.size(F.filter(after_first(split_words(text)), lambda w: starts_upper(w) & is_alpha(w)))
     measured = metrics | figures
     return (
         F.when(measured & official, "HIGH")

@@ -17,20 +17,21 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch handed to Python; texts are long, so a batch is kept small.
 BATCH_ROWS = 1000
 
+#: A setting of the session, unset by default: tasks that each table read is dealt over.
+TASKS = "spark.attestor.tasks"
+
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 _local: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table ``name`` of a data folder, by Spark's reader only (any file system)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+    """The table ``name`` of a data folder, by Spark's reader only (any file system).
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores where its files give fewer tasks than two a core; as it is at any larger size."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
+    Where the session sets TASKS, the rows are dealt over so many tasks, for files of few row groups, which no scan can split.
+    """
+    table, n = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.conf.get(TASKS, None)
+    return table.repartition(int(n)) if n else table
 
 
 def prepare(spark: SparkSession) -> None:
