@@ -76,15 +76,19 @@ def even_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", c
     """``rows`` joined with ``table`` (one row of each ``key``), evenly whatever the keys' shares.
 
     A key with more than one in HEAVY of the rows is dealt by a hash of the row, and its row of ``table`` copied, in
-    proportion to its share: at most HEAVY such keys (a bounded broadcast) and 2 * HEAVY copies. Rows without a key are dealt
+    proportion to its share: at most HEAVY such keys, which the driver reads, and 2 * HEAVY copies. Rows without a key are dealt
     by the hash. ``counts``: ``key`` and c, its number of rows, and ``n``, the number of rows, where they are known.
     """
     counts = counts if counts is not None else rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("c"))
     most = F.greatest(F.lit(1), F.lit(rows.count() if n is None else n) / HEAVY)
-    heavy = F.broadcast(counts.where(F.col("c") > most).select(key, F.ceil(F.col("c") / most).cast("int").alias("_copies")))
-    salt = F.pmod(F.xxhash64(*rows.columns), F.when(F.col(key).isNull(), HEAVY).otherwise(F.coalesce("_copies", F.lit(1)))).cast("int")
-    left = rows.join(heavy, key, "left").withColumn("_salt", salt).drop("_copies")
-    right = table.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    heavy = {r[key]: r["_n"] for r in counts.where(F.col("c") > most).select(key, F.ceil(F.col("c") / most).cast("int").alias("_n")).collect()}
+    copies = F.lit(1)
+    if heavy:  # a hash set lets most rows pass; only those of heavy keys look their number up
+        found = F.element_at(F.create_map(*[F.lit(x) for kv in heavy.items() for x in kv]), F.col(key))
+        copies = F.when(F.col(key).isin(*heavy), found).otherwise(copies)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.when(F.col(key).isNull(), HEAVY).otherwise(copies)).cast("int")
+    left = rows.withColumn("_salt", salt)
+    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
