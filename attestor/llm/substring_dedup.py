@@ -39,7 +39,7 @@ MASK, SHORTEST, LONGEST, CHAIN, LEAST = 0xF000, 8, 48, 3, 100
 #: Bytes in which an edge of a stretch looks for white space.
 EDGE = 64
 #: Bytes handled at once; places resolved at once in a task; bytes of text for each bucket of digests; tasks that resolve buckets, one after the other.
-SLICE, HELD, BUCKET, TASKS = 1 << 20, 500_000, 32 << 20, 100_000
+SLICE, HELD, BUCKET, TASKS = 1 << 20, 500_000, 16 << 20, 100_000
 
 _r = np.random.default_rng(977)
 _GEAR = _r.integers(0, 1 << 16, 256).astype(np.uint16)
@@ -184,7 +184,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     prepare(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = int(max(16, -(-size // BUCKET)))
+    buckets = int(max(32, -(-size // BUCKET)))
     tasks = min(buckets, TASKS)
     rows = docs.select(_key(docs, id_col).alias("key"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
 
@@ -235,6 +235,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def meet(blobs: list[bytes]) -> Iterator[tuple]:
         entries = np.frombuffer(b"".join(blobs), _ENTRY)
+        blobs.clear()
         order, first = _firsts(entries["digest"])
         shared = np.isin(first, first[order != first])
         entries = entries[order[shared]]
