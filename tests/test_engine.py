@@ -382,6 +382,47 @@ def test_pages_read_once_judge_as_texts_in_every_row(spark, monkeypatch):
         assert shown(got["reports"], ["doc_id", "summary"]) == shown(want["reports"], ["doc_id", "summary"])
 
 
+def test_search_copies_neither_queries_nor_postings(spark, monkeypatch):
+    """In many blocks, over several rounds, a query has one row, its ties go to smaller ids, and only the last table is left. Repeated ids are one page."""
+    from attestor import runtime
+
+    monkeypatch.setattr(se, "RANGE", 7)
+    monkeypatch.setattr(se, "ROUND", 30)
+    pages = [(i, "", f"alpha w{i % 5} w{i % 3} x{i}", f"https://a.com/{i}") for i in range(60)] + [(70, "", "alpha one", "https://a.com/70"), (70, "", "two beta", "https://a.com/70")]
+    table = spark.createDataFrame(pages, "page_id long, title string, text string, url string")
+    queries = {i: f"Alpha w{i % 5}" for i in range(40)} | {40: "beta one two", 41: "absent", 42: None}
+    before = len(runtime._written)
+    found = se.corpus_provider(table).ranked(spark.createDataFrame(list(queries.items()), "query_key long, query_text string"), 6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Window" not in plan
+    (_, path), = runtime._written[before:]
+    assert spark.read.parquet(path).count() == len(queries)
+    got = {(r.query_key, r["rank"]): (r["_page"]) for r in found.collect()}
+    words = {}
+    for i, _, text, _ in pages:
+        words.setdefault(i, set()).update(text.split())
+    for k, text in queries.items():
+        asked = set((text or "").lower().split())
+        want = sorted((-len(asked & w), i) for i, w in words.items() if asked & w)[:6]
+        assert [got.get((k, n)) for n in range(1, 7)] == [i for _, i in want] + [None] * (6 - len(want))
+
+
+def test_judged_in_parts_as_at_once(spark, monkeypatch):
+    """Parts change nothing, and at the end neither rows with claims' words nor described pages are stored."""
+    from attestor import runtime
+    from attestor.plans import verify as plan
+
+    provider = se.corpus_provider(spark.createDataFrame(NOTES, "page_id long, title string, text string, url string"))
+    docs = spark.createDataFrame(CLAIMS, "doc_id long, text string")
+    shown = lambda out: [sorted(map(str, out[part].collect())) for part in ("verdicts", "summaries", "evidence")]
+    want = shown(plan.verify(docs, provider))
+    monkeypatch.setattr(plan, "PART", 2)
+    before = len(runtime._written)
+    assert shown(plan.verify(docs, provider)) == want
+    stored = [spark.read.parquet(path).columns for _, path in runtime._written[before:]]
+    assert sum("stance" in c for c in stored) > 1 and not [c for c in stored if {"_c", "_low", "codes"} & set(c)]
+
+
 def test_finder():
     from attestor.operators.match import finder
 
